@@ -6,6 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import units
+from .tables import table
+
+
+
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every stated energy in eV."""
+    return units.in_common_units(table(spark, d, "paper_metadata"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.in_other_units(p4_values(spark, d)).select("paper_id", "metadata_version", "field", "unit", "lg100").distinct()
+
+
 FLAGSHIP = "p4_found"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_values)}
 SQL: dict[str, str] = {}
