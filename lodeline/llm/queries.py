@@ -10,9 +10,26 @@ from pyspark.sql import functions as F
 from ..plans.tables import staged, table
 from . import leaks as lk
 from . import mixing as mx
+from . import scans as sc
 from . import skeleton as sk
 
 
+def p1_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged lines with what was read and what it should be."""
+    return sc.damaged_lines(table(spark, d, "papers"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_lines(spark, d).select("paper_id", "line_no", "kind").distinct()
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every paper's text as continuous paragraphs; sound papers unchanged."""
+    papers = table(spark, d, "papers")
+    fixed = sc.repaired(papers, staged(sc.damaged_lines(papers), "damage")).distinct()
+    return fixed.select("paper_id", F.md5("repaired").alias("text_md5"), F.length("repaired").alias("n_chars"))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Longest verbatim match of each affected document and item."""
     return lk.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -64,5 +81,5 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return sk.with_skeleton(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5("skeleton").alias("form_md5"), F.length("skeleton").alias("form_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
 SQL: dict[str, str] = {}
