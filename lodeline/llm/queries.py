@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.tables import staged, table
 from . import leaks as lk
 from . import mixing as mx
+from . import pieces as pc
 from . import scans as sc
 from . import skeleton as sk
 
@@ -30,6 +31,21 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return fixed.select("paper_id", F.md5("repaired").alias("text_md5"), F.length("repaired").alias("n_chars"))
 
 
+# Field, table, key, limit and overlap of problem 2.
+OVERSIZED = (("paper_md", "papers", "paper_id", 6000, 300), ("chain_text", "chain_embedding", "chain_id", 1000, 100))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [pc.oversized(table(spark, d, t), key, field, limit, overlap).select(F.lit(field).alias("field"), "item_id", "cut") for field, t, key, limit, overlap in OVERSIZED]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces with their places; the bodies as digests, to keep the result narrow."""
+    parts = [pc.pieces(table(spark, d, t), key, field, limit, overlap).select(F.lit(field).alias("field"), "item_id", "piece_no", "start", "end", "forced", F.md5("piece").alias("piece_md5")) for field, t, key, limit, overlap in OVERSIZED]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Longest verbatim match of each affected document and item."""
     return lk.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -81,5 +97,13 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return sk.with_skeleton(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5("skeleton").alias("form_md5"), F.length("skeleton").alias("form_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p2_found, p2_pieces, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
+SQL: dict[str, str] = {
+    "p2_found": r"""
+SELECT DISTINCT field, item_id,
+       CASE WHEN list_max(list_transform(regexp_split_to_array(t, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}。！？；，]'), lambda x: length(x))) > lim THEN 'forced' ELSE 'natural' END AS cut
+FROM (SELECT 'paper_md' AS field, paper_id AS item_id, paper_md AS t, 6000 AS lim FROM papers
+      UNION ALL SELECT 'chain_text', chain_id, chain_text, 1000 FROM chain_embedding) u
+WHERE item_id IS NOT NULL AND length(t) > lim
+""",
+}
