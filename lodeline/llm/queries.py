@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.tables import staged, table
 from . import leaks as lk
 from . import mixing as mx
+from . import neighbours as nb
 from . import pieces as pc
 from . import scans as sc
 from . import skeleton as sk
@@ -46,6 +47,15 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar chains of each chain, from cosine 0.80 on."""
+    return nb.nearest_neighbours(table(spark, d, "chain_embedding")).withColumn("cosine", F.round("cosine", 6))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return nb.neighbour_pairs(nb.nearest_neighbours(table(spark, d, "chain_embedding")))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Longest verbatim match of each affected document and item."""
     return lk.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -97,7 +107,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return sk.with_skeleton(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5("skeleton").alias("form_md5"), F.length("skeleton").alias("form_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p2_found, p2_pieces, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p2_found, p2_pieces, p6_found, p6_neighbours, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
 SQL: dict[str, str] = {
     "p2_found": r"""
 SELECT DISTINCT field, item_id,
