@@ -3,7 +3,7 @@
 Method: vectors are coded as a sum of full-dimensional words, one from each of several residual codebooks, by beam
 search; the norm of the sum is stored beside the codes. An asker's products with all words make a lookup table, and
 the score of a resident is the sum of its words' entries over its norm. The best scores are reranked exactly. The
-first codebook is the index of cells, which also tells who must be compared with whom.
+first codebook holds centroids of the collection; an index of cells tells who is compared with whom.
 
 Codebooks and cells are fitted on a bounded sample; every row is coded and asks. Where a whole cell passes, only
 the exact rerank decides the order; ties go to the smaller key.
@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from . import cells as cl
 
 BOOKS, WORDS, BEAM, RERANK = 24, 64, 2, 192
+FIRST_WORDS = 1024
 MARGIN, ASK = 0.17, 8
 
 
@@ -99,26 +100,28 @@ class Codebooks:
         return sum(self.books[m][codes[:, m]] for m in range(len(self.books)))
 
 
-def search(q: np.ndarray, v: np.ndarray, base: np.ndarray, codebooks: Codebooks, k: int, least: float, rerank: int = RERANK, slack: float = 0.22, skip: np.ndarray | None = None, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(q: np.ndarray, v: np.ndarray, first: np.ndarray, codebooks: Codebooks, k: int, least: float, rerank: int = RERANK, slack: float = 0.22, skip: np.ndarray | None = None, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(asker, resident, cosine) of the k best residents with cosine >= least of each asker.
 
-    Scores come from codes by lookup tables; `rerank` residents of best score are compared exactly. skip[i] is the
+    `first` is the first codebook, whose words are centroids of the whole collection. Scores come from codes by
+    lookup tables; `rerank` residents of best score are compared exactly. skip[i] is the
     resident that asker i is itself, or -1. Residents come in the order of their keys.
     """
     out_q, out_v, out_s = [], [], []
     if not len(v) or not len(q):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    codes = codebooks.encode(v - base)
-    inverse = 1.0 / np.maximum(np.linalg.norm(codebooks.decode(codes) + base, axis=1), 1e-6).astype(np.float32)
+    used, code = np.unique(cl.nearest(v, first), return_inverse=True)
+    first = first[used]
+    codes = codebooks.encode(v - first[code])
+    inverse = 1.0 / np.maximum(np.linalg.norm(codebooks.decode(codes) + first[code], axis=1), 1e-6).astype(np.float32)
     books, words, dim = codebooks.books.shape
     flat = codebooks.books.reshape(-1, dim)
     for i in range(0, len(q), step):
         part = q[i : i + step]
         table = np.ascontiguousarray((part @ flat.T).T)  # (books * words, askers)
-        score = table[codes[:, 0]]
-        for m in range(1, books):
+        score = np.ascontiguousarray((part @ first.T).T)[code]
+        for m in range(books):
             score += table[codes[:, m].astype(np.int64) + m * words]
-        score += part @ base
         score *= inverse[:, None]
         rows = np.flatnonzero(score.max(0) >= least - slack)
         if not len(rows):
@@ -150,17 +153,19 @@ def nearest_neighbours(df: DataFrame, key: str = "chain_id", vector: str = "vect
     want = max(sample_rows, min(200_000, 8 * (total // cell_rows)))
     drawn = cl.sample(rows, want, dim)
     cells = cl.fit_cells(drawn, total, cell_rows)
-    rest = drawn - cells.centroids[cl.nearest(drawn, cells.centroids)] if len(drawn) else np.zeros((1, dim), np.float32)
-    model = rows.sparkSession.sparkContext.broadcast((cells, Codebooks.fit(rest[:10_000])))
+    if not len(drawn):
+        drawn = np.full((1, dim), dim**-0.5, np.float32)
+    first = cl.kmeans(drawn, max(1, min(FIRST_WORDS, len(drawn) // 20)), rounds=6)
+    rest = drawn[:10_000] - first[cl.nearest(drawn[:10_000], first)]
+    model = rows.sparkSession.sparkContext.broadcast((first, Codebooks.fit(rest)))
     spread = cl.routed(rows, cells, MARGIN, ASK, dim)
 
     def meet(table: pa.Table) -> pa.Table:
-        index, books = model.value
+        first, books = model.value
         g = cl.Group(table, dim)
-        base = index.centroids[table.column("cell")[0].as_py()]
         pa_q, pa_v, pa_s = [], [], []
         for q, ids, skip in ((g.v, g.ids, np.arange(len(g.ids))), (g.ask_v, g.ask_ids, None)):
-            a, b, s = search(q, g.v, base, books, k, least, skip=skip)
+            a, b, s = search(q, g.v, first, books, k, least, skip=skip)
             pa_q += [ids[i] for i in a.tolist()]
             pa_v += [g.ids[i] for i in b.tolist()]
             pa_s.append(s)
