@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import staged, table
+from . import groups as gr
 from . import leaks as lk
 from . import mixing as mx
 from . import neighbours as nb
@@ -47,6 +48,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return gr.group_members(gr.similarity_groups(table(spark, d, "chain_embedding")))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each group by size and most typical members."""
+    groups = gr.similarity_groups(table(spark, d, "chain_embedding"))
+    return gr.group_profiles(groups).withColumn("typical", F.array_join("typical", ","))
+
+
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar chains of each chain, from cosine 0.80 on."""
     return nb.nearest_neighbours(table(spark, d, "chain_embedding")).withColumn("cosine", F.round("cosine", 6))
@@ -107,7 +118,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return sk.with_skeleton(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5("skeleton").alias("form_md5"), F.length("skeleton").alias("form_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p2_found, p2_pieces, p6_found, p6_neighbours, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p2_found, p2_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
 SQL: dict[str, str] = {
     "p2_found": r"""
 SELECT DISTINCT field, item_id,
