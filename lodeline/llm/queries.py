@@ -15,6 +15,7 @@ from . import neighbours as nb
 from . import pieces as pc
 from . import scans as sc
 from . import skeleton as sk
+from . import varied as vr
 
 
 def p1_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +49,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return vr.crowded(vr.features(table(spark, d, "chain_embedding"))).select("chain_id")
+
+
+def p3_selected(spark: SparkSession, d: str) -> DataFrame:
+    """The varied subset of each domain."""
+    rows = staged(vr.features(table(spark, d, "chain_embedding")), "features")
+    return vr.select_varied(rows, vr.domain_sizes(table(spark, d, "selection_stats")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return gr.group_members(gr.similarity_groups(table(spark, d, "chain_embedding")))
 
@@ -118,7 +129,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return sk.with_skeleton(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5("skeleton").alias("form_md5"), F.length("skeleton").alias("form_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p2_found, p2_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p2_found, p2_pieces, p3_found, p3_selected, p5_found, p5_groups, p6_found, p6_neighbours, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
 SQL: dict[str, str] = {
     "p2_found": r"""
 SELECT DISTINCT field, item_id,
