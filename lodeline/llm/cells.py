@@ -48,15 +48,21 @@ def vectors(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{vector}`").alias("vector"), *[F.col(f"`{m}`") for m in more]).where("id is not null and vector is not null")
 
 
-def sample(rows: DataFrame, n: int, dim: int = DIM) -> np.ndarray:
-    """Unit vectors of about n rows of smallest key hash, one for each key; fewer if there are no more."""
-    got = rows.where(F.size("vector") == dim).select(F.xxhash64("id").alias("h"), "id", "vector").orderBy("h", "id").limit(n).drop("h").toArrow()
+def hash_share(column: str, share: float):
+    """Whether a key's hash falls into the first `share` of all hashes: a sample that no task has to sort for."""
+    return F.xxhash64(column) < F.lit(int(-(2**63) + min(1.0, share) * (2**64 - 2048)))
+
+
+def sample(rows: DataFrame, n: int, total: int, dim: int = DIM) -> np.ndarray:
+    """Unit vectors of about n of `total` rows, chosen by key hash, one for each key; all if there are no more."""
+    share = 1.0 if total <= n else 1.1 * n / total
+    got = rows.where((F.size("vector") == dim) & hash_share("id", share)).select("id", "vector").toArrow()
     ids = np.array(got.column("id").to_pylist(), dtype=object)
     index, v = matrix(got.column("vector"), dim)
     if not len(index):
         return v
     _, first = np.unique(ids[index].astype(str), return_index=True)
-    return v[np.sort(first)]
+    return v[first[np.random.default_rng(1).permutation(len(first))]][: int(n)]
 
 
 def kmeans(v: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -87,8 +93,8 @@ class Cells:
     centroids: np.ndarray
     blocks: np.ndarray
 
-    def route(self, v: np.ndarray, hashes: np.ndarray, margin: float, most: int, home: np.ndarray | None = None, step: int = 2048) -> tuple[np.ndarray, ...]:
-        """(row, cell, block, own): where each row lives (own) and where else it asks."""
+    def route(self, v: np.ndarray, hashes: np.ndarray, margin: float, most: int, home: np.ndarray | None = None, also: np.ndarray | None = None, step: int = 2048) -> tuple[np.ndarray, ...]:
+        """(row, cell, block, own): where each row lives (own) and where else it asks: the `most` nearest cells within the margin, and the cells of `also` (-1 for none)."""
         k = len(self.centroids)
         most = min(most, k)
         outs = []
@@ -100,8 +106,14 @@ class Cells:
             own = s.argmax(1) if home is None else home[i : i + step]
             ask = (near_s >= s.max(1)[:, None] - margin) & (near != own[:, None])
             r, j = np.nonzero(ask)
+            asked = near[r, j]
+            if also is not None:
+                more = also[i : i + step]
+                r2, j2 = np.nonzero((more >= 0) & (more != own[:, None]))
+                pair = np.unique(np.concatenate([r * k + asked, r2 * k + more[r2, j2]]))
+                r, asked = pair // k, pair % k
             rows = np.concatenate([np.arange(n), r]) + i
-            cells = np.concatenate([own, near[r, j]])
+            cells = np.concatenate([own, asked])
             outs.append((rows, cells, np.concatenate([np.ones(n, bool), np.zeros(len(r), bool)])))
         if not outs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)

@@ -7,7 +7,8 @@ removed. Two further rounds of expectation-maximisation run over all rows, sprea
 with too many rows is parted into sub-components in the same space.
 
 Every row lives in its most likely component and asks those whose means are nearly as near. Exact cosines then link
-rows; linked pieces of different components are joined by connected components. The members of highest density
+rows; rows of no or small pieces meet a second time in cells of their own; linked pieces are joined by connected
+components. The members of highest density
 represent a group.
 
 Defined results: null, short, zero or non-finite vectors are in no group; repeated rows of one key count once; a row
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,7 +33,8 @@ from .components import connected_components
 
 LINK = 0.78
 REDUCED = 32
-MARGIN, ASK = 0.2, 8
+MARGIN, ASK, SAME = 0.25, 12, 5
+FEW, SECOND_ASK = 50, 6
 
 
 @dataclass
@@ -171,9 +174,10 @@ def component_of(mixture: Mixture, v: np.ndarray, step: int = 4096) -> np.ndarra
     return np.concatenate([mixture.log_density(mixture.reduce(v[i : i + step])).argmax(1) for i in range(0, len(v), step)]) if len(v) else np.zeros(0, np.int64)
 
 
-def live(mixture: Mixture, cells: cl.Cells, of: np.ndarray, v: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, component, log-density) of rows: the most likely component, and its nearest cell."""
-    homes, comps, dens = [], [], []
+def live(mixture: Mixture, cells: cl.Cells, of: np.ndarray, v: np.ndarray, step: int = 4096) -> tuple[np.ndarray, ...]:
+    """(cell, component, log-density, further cells) of rows: the most likely component and its nearest cells."""
+    homes, comps, dens, more = [], [], [], []
+    wide = min(SAME, len(cells.centroids))
     for i in range(0, len(v), step):
         part = v[i : i + step]
         log = mixture.log_density(mixture.reduce(part))
@@ -181,10 +185,12 @@ def live(mixture: Mixture, cells: cl.Cells, of: np.ndarray, v: np.ndarray, step:
         s = part @ cells.centroids.T
         s[of[None, :] != comp[:, None]] = -9
         homes.append(s.argmax(1))
+        near = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
+        more.append(np.where(np.take_along_axis(s, near, 1) > -2, near, -1))
         comps.append(comp)
         top = log.max(1)
         dens.append(top + np.log(np.exp(log - top[:, None]).sum(1)))
-    return (np.concatenate(homes), np.concatenate(comps), np.concatenate(dens)) if homes else (np.zeros(0, np.int64),) * 3
+    return (np.concatenate(homes), np.concatenate(comps), np.concatenate(dens), np.concatenate(more)) if homes else (np.zeros(0, np.int64),) * 4
 
 
 def linked(v: np.ndarray, least: float) -> np.ndarray:
@@ -215,6 +221,44 @@ def linked(v: np.ndarray, least: float) -> np.ndarray:
     return label
 
 
+def links_of(g: cl.Group, least: float) -> tuple[np.ndarray, dict[int, str], list[tuple[int, str]]]:
+    """(piece of each resident, first key of each piece, (asker, first key of a piece it is linked to))."""
+    label = linked(g.v, least)
+    root: dict[int, str] = {}
+    for i, n in zip(g.ids, label.tolist()):  # residents come in the order of their keys
+        root.setdefault(n, i)
+    asked = []
+    for i in range(0, len(g.ask_v) if len(g.v) else 0, 512):
+        q, j = np.nonzero(g.ask_v[i : i + 512] @ g.v.T >= least)
+        asked += [(i + int(x) // len(root), root[int(x) % len(root)]) for x in np.unique(q * len(root) + label[j])]
+    return label, root, asked
+
+
+def second_look(rows: DataFrame, least: float, cell_rows: int, sample_rows: int, dim: int) -> DataFrame:
+    """(id, root): links among the rows of no or small pieces, met again in cells of their own, for what the first cells kept apart."""
+    spark = rows.sparkSession
+    total = rows.count()
+    drawn = rows.where(cl.hash_share("id", 1.0 if total <= sample_rows else sample_rows / total)).select("v").toArrow().column("v")
+    cells = cl.fit_cells(cl.unpacked(drawn, dim), total, cell_rows)
+    held = spark.sparkContext.broadcast(cells)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, v = b.column("id"), cl.unpacked(b.column("v"), dim)
+            r, c, k, own = held.value.route(v, cl.hash_ids(ids), MARGIN, SECOND_ASK)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(k, pa.int32()), pa.array(own), ids.take(pa.array(r)), cl.packed(v[r])], ["cell", "block", "own", "id", "v"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        g = cl.Group(table, dim)
+        label, root, asked = links_of(g, least)
+        pairs = [(i, root[n]) for i, n in zip(g.ids, label.tolist()) if i != root[n]] + [(g.ask_ids[a], r) for a, r in asked]
+        return pa.table({"id": pa.array([p[0] for p in pairs], pa.string()), "root": pa.array([p[1] for p in pairs], pa.string())})
+
+    return rows.mapInArrow(spread, cl.ROUTED).groupBy("cell", "block").applyInArrow(meet, "id string, root string")
+
+
 def similarity_groups(df: DataFrame, key: str = "chain_id", vector: str = "vector", least: float = LINK, domain: str | None = "domain", dim: int = cl.DIM, sample_rows: int = cl.SAMPLE_ROWS, cell_rows: int = cl.CELL_ROWS) -> DataFrame:
     """(id, group, density, component[, domain]): every row that is linked to another; group is its smallest key."""
     rows = cl.vectors(df, key, vector, *([domain] if domain else []))
@@ -222,7 +266,7 @@ def similarity_groups(df: DataFrame, key: str = "chain_id", vector: str = "vecto
         rows = rows.withColumnRenamed(domain, "domain")
     total = rows.count()
     spark = rows.sparkSession
-    drawn = cl.sample(rows, max(sample_rows, min(200_000, 8 * (total // cell_rows))), dim)
+    drawn = cl.sample(rows, max(sample_rows, min(200_000, 8 * (total // cell_rows))), total, dim)
     if not len(drawn):
         drawn = np.full((1, dim), dim**-0.5, np.float32)
     mixture = refine(rows, fit_mixture(drawn, start=max(4, len(drawn) // 32)), dim=dim)
@@ -238,8 +282,8 @@ def similarity_groups(df: DataFrame, key: str = "chain_id", vector: str = "vecto
                 continue
             ids = b.column("id").take(pa.array(at))
             names = b.column("domain").take(pa.array(at)) if with_domain else pa.nulls(len(at), pa.string())
-            home, comp, dens = live(m, index, owner, v)
-            r, c, k, own = index.route(v, cl.hash_ids(ids), MARGIN, ASK, home)
+            home, comp, dens, more = live(m, index, owner, v)
+            r, c, k, own = index.route(v, cl.hash_ids(ids), MARGIN, ASK, home, more)
             for i in range(0, len(r), 20_000):
                 j = r[i : i + 20_000]
                 take = pa.array(j)
@@ -249,35 +293,24 @@ def similarity_groups(df: DataFrame, key: str = "chain_id", vector: str = "vecto
 
     def meet(table: pa.Table) -> pa.Table:
         g = cl.Group(table, dim)
-        label = linked(g.v, least)
-        size = np.bincount(label, minlength=1) if len(label) else np.zeros(1, np.int64)
-        root: dict[int, str] = {}
-        for i, n in zip(g.ids, label.tolist()):  # residents come in the order of their keys
-            root.setdefault(n, i)
-        out_id, out_root, out_own, out_at = [], [], [], []
-        asked: set[int] = set()
-        for i in range(0, len(g.ask_v), 512):
-            hit = g.ask_v[i : i + 512] @ g.v.T >= least if len(g.v) else np.zeros((0, 0), bool)
-            q, j = np.nonzero(hit)
-            for a, n in set(zip(q.tolist(), label[j].tolist())):
-                asked.add(n)
-                out_id.append(g.ask_ids[i + a])
-                out_root.append(root[n])
-                out_own.append(False)
-                out_at.append(g.rows_ask[i + a])
-        for i, n in enumerate(label.tolist()):
-            out_id.append(g.ids[i])
-            out_root.append(root[n])
-            out_own.append(True)
-            out_at.append(g.rows_here[i])
-        alone = pa.array([o and size[label[k]] < 2 for o, k in zip(out_own, [0] * (len(out_own) - len(label)) + list(range(len(label))))], pa.bool_())
-        take = pa.array(out_at, pa.int64())
-        return pa.table({"id": pa.array(out_id, pa.string()), "root": pa.array(out_root, pa.string()), "own": pa.array(out_own, pa.bool_()), "alone": alone, "density": table.column("density").take(take), "component": table.column("component").take(take), "domain": table.column("domain").take(take)})
-
-    met = staged(routed.groupBy("cell", "block").applyInArrow(meet, "id string, root string, own boolean, alone boolean, density double, component int, domain string"), "linked")
+        label, root, asked = links_of(g, least)
+        size = np.bincount(label, minlength=1)[label] if len(label) else np.zeros(0, np.int64)
+        at = pa.array([g.rows_ask[a] for a, _ in asked] + g.rows_here, pa.int64())
+        ids = [g.ask_ids[a] for a, _ in asked] + g.ids
+        roots = [r for _, r in asked] + [root[n] for n in label.tolist()]
+        own = pa.array(np.arange(len(ids)) >= len(asked))
+        few = pa.array(np.concatenate([np.zeros(len(asked), bool), size <= FEW]))
+        v = pc.if_else(few, table.column("v").combine_chunks().take(at), pa.scalar(None, pa.binary()))
+        alone = pa.array(np.concatenate([np.zeros(len(asked), bool), size < 2]))
+        return pa.table({"id": pa.array(ids, pa.string()), "root": pa.array(roots, pa.string()), "own": own, "alone": alone, "v": v, **{c: table.column(c).take(at) for c in ("density", "component", "domain")}})
+
+    met = staged(routed.groupBy("cell", "block").applyInArrow(meet, "id string, root string, own boolean, alone boolean, v binary, density double, component int, domain string"), "linked")
     # a row that asks elsewhere ties its own piece to the pieces it meets there
     homes = met.where("own").select("id", F.col("root").alias("home"))
-    ties = met.where("not own").join(homes, "id").select(F.col("home").alias("a"), F.col("root").alias("b")).where("a != b").distinct()
+    ties = met.where("not own").join(homes, "id").select(F.col("home").alias("a"), F.col("root").alias("b"))
+    again = second_look(met.where("own and v is not null").select("id", "v"), least, cell_rows, sample_rows, dim)
+    again = again.join(homes, "id").join(homes.select(F.col("id").alias("root"), F.col("home").alias("b")), "root").select(F.col("home").alias("a"), "b")
+    ties = ties.unionByName(again).where("a != b").distinct()
     joined = connected_components(ties)
     members = met.where("own").join(joined, met.root == joined.node, "left").select("id", F.coalesce(joined.root, met.root).alias("piece"), (F.col("alone") & joined.root.isNull()).alias("single"), "density", "component", "domain").where("not single").drop("single")
     # pieces are named after their smallest key, but not each piece of a group is

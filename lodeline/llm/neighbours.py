@@ -151,7 +151,7 @@ def nearest_neighbours(df: DataFrame, key: str = "chain_id", vector: str = "vect
     rows = cl.vectors(df, key, vector)
     total = rows.count()
     want = max(sample_rows, min(200_000, 8 * (total // cell_rows)))
-    drawn = cl.sample(rows, want, dim)
+    drawn = cl.sample(rows, want, total, dim)
     cells = cl.fit_cells(drawn, total, cell_rows)
     if not len(drawn):
         drawn = np.full((1, dim), dim**-0.5, np.float32)
