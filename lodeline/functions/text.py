@@ -72,11 +72,11 @@ def safe_stem(col: Column, most: int = 180) -> Column:
 
 
 def xml_path(prefix: str, paper: Column) -> Column:
-    return F.format_string("%s/xml/%s_reasoning_chain.xml", F.lit(prefix), paper)
+    return F.concat(F.lit(f"{prefix}/xml/"), paper, F.lit("_reasoning_chain.xml"))
 
 
 def md_path(prefix: str, paper: Column) -> Column:
-    return F.format_string("%s/md/%s.md", F.lit(prefix), paper)
+    return F.concat(F.lit(f"{prefix}/md/"), paper, F.lit(".md"))
 
 
 def truncated(col: Column, most: int, marker: str = "") -> Column:
@@ -91,7 +91,8 @@ def percent(num: Column, den: Column) -> Column:
 
 
 def number(col: Column, places: int = 4) -> Column:
-    return F.coalesce(F.format_string(f"%.{places}f", col.cast("double")), F.lit("—"))
+    d = col.cast("double")
+    return F.when(d.isNotNull(), F.format_string(f"%.{places}f", d)).otherwise(F.lit("—"))
 
 
 def json_safe(col: Column) -> Column:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import md_path, xml_path
+
 STEP = pa.struct([("step_id", pa.string()), ("text", pa.string()), ("raw_text", pa.string()), ("has_citations", pa.bool_()), ("has_figures", pa.bool_())])
 CHAINS = "paper_id string, journal string, conclusion_id string, conclusion_title string, conclusion_text string, steps array<struct<step_id string, text string, raw_text string, has_citations boolean, has_figures boolean>>, raw_xml string"
 
@@ -82,7 +84,7 @@ def chain_rows(chains: DataFrame, prefix: str = "paper_ocr", stored: int = 2000)
     text = F.array_join(F.transform("steps", lambda s: F.concat(F.lit("Step "), s["step_id"], F.lit(": "), s["text"])), "\n")
     return chains.select(
         F.concat_ws("_", "paper_id", "conclusion_id").alias("chain_id"), "paper_id", "journal", "conclusion_id", "conclusion_title",
-        F.format_string(f"{prefix}/xml/%s_reasoning_chain.xml", "paper_id").alias("xml_path"), F.format_string(f"{prefix}/md/%s.md", "paper_id").alias("md_path"),
+        xml_path(prefix, F.col("paper_id")).alias("xml_path"), md_path(prefix, F.col("paper_id")).alias("md_path"),
         F.left(text, F.lit(stored)).alias("chain_text"), text.alias("full_text"), F.lit(-1).alias("cluster_id"), F.size("steps").alias("num_steps"),
         F.exists("steps", lambda s: s["has_citations"]).alias("has_citations"), F.exists("steps", lambda s: s["has_figures"]).alias("has_figures"),
     )

@@ -57,18 +57,16 @@ class KeyedTable:
         self.spark, self.path, self.kind = spark, path.rstrip("/"), schema(kind)
         self.key = key or primary_key(self.kind.fieldNames())
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _pointers(self):
+        """(file system, Path class, pointer directory, names of the pointers in order)."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = path(f"{self.path}/_current")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs, path, at, sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
     def version(self) -> str | None:
-        """The directory in force: the last pointer by name."""
-        jvm, fs = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        if not fs.exists(at):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at))
+        """The directory in force, which the last pointer names."""
+        names = self._pointers()[3]
         return names[-1].split("~", 1)[1] if names else None
 
     def read(self) -> DataFrame:
@@ -76,11 +74,11 @@ class KeyedTable:
         return self.spark.read.schema(self.kind).parquet(f"{self.path}/{v}") if v else self.spark.createDataFrame([], self.kind)
 
     def _put(self, df: DataFrame) -> None:
-        jvm, fs = self._fs()
         v = f"v-{uuid.uuid4().hex}"
         df.select(*self.kind.fieldNames()).write.parquet(f"{self.path}/{v}")
-        turn = 1 + max((int(s.getPath().getName().split("~")[0]) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current"))), default=0) if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")) else 1
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current/{turn:012d}~{v}")).close()
+        fs, path, at, names = self._pointers()
+        turn = int(names[-1].split("~")[0]) + 1 if names else 1
+        fs.create(path(f"{at.toString()}/{turn:012d}~{v}")).close()
 
     def append(self, df: DataFrame) -> None:
         self._put(self.read().unionByName(df.select(*self.kind.fieldNames())))
