@@ -49,8 +49,8 @@ def test_scans(spark):
 
 
 def test_misreadings():
-    for bad, good in (("pre5ent", "present"), ("plionon", "phonon"), ("svmmetry", "symmetry"), ("whi1e", "while"), ("lirnits", "limits"), ("bndge", "bridge"), ("coolmg", "cooling"), ("foUows", "follows"), ("biibbly", "bubbly"), ("bouncl", "bound")):
-        assert scans.is_misreading(bad, good) and scans.misreading_key(bad) == scans.misreading_key(good), (bad, good, scans.misreading_key(bad), scans.misreading_key(good))
+    for bad, good in (("pre5ent", "present"), ("plionon", "phonon"), ("svmmetry", "symmetry"), ("whi1e", "while"), ("lirnits", "limits"), ("bndge", "bridge"), ("coolmg", "cooling"), ("foUows", "follows"), ("biibbly", "bubbly"), ("bouncl", "bound"), ("efhciency", "efficiency"), ("carmot", "cannot"), ("samphng", "sampling")):
+        assert scans.is_misreading(bad, good) and bad in scans.misreadings(good), (bad, good)
     assert not scans.is_misreading("present", "present") and not scans.is_misreading("form", "foam")
     assert scans.misread_number("6B4", " ") and scans.misread_number("l997", " ")
     assert not any(scans.misread_number(t, " ") for t in ("S5l2", "TS232", "lHC78", "123", "N50"))
