@@ -6,7 +6,8 @@ the score of a resident is the sum of its words' entries over its norm. The best
 first codebook holds centroids of the collection; an index of cells tells who is compared with whom.
 
 Codebooks and cells are fitted on a bounded sample; every row is coded and asks. Where a whole cell passes, only
-the exact rerank decides the order; ties go to the smaller key.
+the exact rerank decides the order; ties go to the smaller key. Without a least cosine, rows that don't find k
+neighbours from `SURE` on look again, by exact products, in far larger cells and without a margin.
 
 Defined results: null, short, zero or non-finite vectors count as absent; repeated rows of one key count once; an
 empty table gives no rows; exact copies under other keys are neighbours with cosine 1.
@@ -22,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.tables import staged
 from . import cells as cl
 
 BOOKS, WORDS, BEAM, RERANK = 24, 64, 2, 192
 FIRST_WORDS = 1024
 MARGIN, ASK = 0.17, 8
+SURE = 0.8
+WIDE_ROWS, WIDE_ASK = 16_000, 16
 
 
 def _one_hot(own: np.ndarray, size: int) -> np.ndarray:
@@ -146,9 +150,10 @@ def search(q: np.ndarray, v: np.ndarray, first: np.ndarray, codebooks: Codebooks
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
-def nearest_neighbours(df: DataFrame, key: str = "chain_id", vector: str = "vector", k: int = 5, least: float = 0.8, dim: int = cl.DIM, sample_rows: int = cl.SAMPLE_ROWS, cell_rows: int = cl.CELL_ROWS, queries: DataFrame | None = None) -> DataFrame:
-    """(id, neighbour, cosine, rank): the k most similar rows of every row, as far as their cosine is at least `least`."""
+def nearest_neighbours(df: DataFrame, key: str = "chain_id", vector: str = "vector", k: int = 5, least: float | None = None, dim: int = cl.DIM, sample_rows: int = cl.SAMPLE_ROWS, cell_rows: int = cl.CELL_ROWS) -> DataFrame:
+    """(id, neighbour, cosine, rank): the k most similar rows of every row, as far as their cosine is at least `least`, if that is given."""
     rows = cl.vectors(df, key, vector)
+    floor = SURE if least is None else least
     total = rows.count()
     want = max(sample_rows, min(200_000, 8 * (total // cell_rows)))
     drawn = cl.sample(rows, want, total, dim)
@@ -165,23 +170,79 @@ def nearest_neighbours(df: DataFrame, key: str = "chain_id", vector: str = "vect
         g = cl.Group(table, dim)
         pa_q, pa_v, pa_s = [], [], []
         for q, ids, skip in ((g.v, g.ids, np.arange(len(g.ids))), (g.ask_v, g.ask_ids, None)):
-            a, b, s = search(q, g.v, first, books, k, least, skip=skip)
+            a, b, s = search(q, g.v, first, books, k, floor, skip=skip)
             pa_q += [ids[i] for i in a.tolist()]
             pa_v += [g.ids[i] for i in b.tolist()]
             pa_s.append(s)
         return pa.table({"id": pa.array(pa_q, pa.string()), "neighbour": pa.array(pa_v, pa.string()), "cosine": pa.array(np.concatenate(pa_s), pa.float64())})
 
     found = spread.groupBy("cell", "block").applyInArrow(meet, "id string, neighbour string, cosine double")
+    if least is None:
+        found = staged(found, "near")
+        done = found.groupBy("id").agg(F.count_distinct("neighbour").alias("n")).where(F.col("n") >= k).select("id", F.lit(True).alias("done"))
+        more = _wide(rows.join(done, "id", "left"), drawn, total, k, dim)
+        found = found.unionByName(more).groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _wide(rows: DataFrame, drawn: np.ndarray, total: int, k: int, dim: int, cell_rows: int = WIDE_ROWS, most: int = WIDE_ASK) -> DataFrame:
+    """(id, neighbour, cosine): the k best rows in each of the `most` nearest wide cells, for rows that aren't `done`."""
+    held = rows.sparkSession.sparkContext.broadcast(cl.fit_cells(drawn, total, cell_rows))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index, v = cl.matrix(b.column("vector"), dim)
+            if not len(index):
+                continue
+            ids = b.column("id").take(pa.array(index))
+            far = b.column("done").is_null().to_numpy(zero_copy_only=False)[index]
+            r, c, n, own = held.value.route(v, cl.hash_ids(ids), 2.0, most)
+            keep = own | far[r]
+            r, c, n, own = r[keep], c[keep], n[keep], own[keep]
+            for i in range(0, len(r), 20_000):
+                j = r[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], pa.int32()), pa.array(n[i : i + 20_000], pa.int32()), pa.array(own[i : i + 20_000]), ids.take(pa.array(j)), cl.packed(v[j]), pa.array(far[j])], ["cell", "block", "own", "id", "v", "far"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        g = cl.Group(table, dim)
+        far = np.flatnonzero(table.column("far").to_numpy()[g.rows_here])
+        q = np.concatenate([g.v[far], g.ask_v])
+        skip = np.concatenate([far, np.full(len(g.ask_ids), -1)])
+        a, b, s = best_exact(q, g.v, k, skip)
+        ids = [g.ids[i] for i in far] + g.ask_ids
+        return pa.table({"id": pa.array([ids[i] for i in a.tolist()], pa.string()), "neighbour": pa.array([g.ids[i] for i in b.tolist()], pa.string()), "cosine": pa.array(s, pa.float64())})
+
+    spread_rows = rows.select("id", "vector", "done").mapInArrow(spread, cl.ROUTED + ", far boolean")
+    return spread_rows.groupBy("cell", "block").applyInArrow(meet, "id string, neighbour string, cosine double")
+
+
+def best_exact(q: np.ndarray, v: np.ndarray, k: int, skip: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asker, resident, cosine) of the k best residents of each asker by exact products; skip[i] is the resident that asker i is itself, or -1."""
+    outs = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in range(0, len(q) if len(v) else 0, step):
+        s = q[i : i + step] @ v.T
+        mine = np.flatnonzero(skip[i : i + step] >= 0)
+        s[mine, skip[i + mine]] = -2
+        if s.shape[1] > 2 * k:  # equals of the k-th count, so that ties go to the smaller key
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            r, j = np.nonzero(s >= least[:, None] - 1e-6)
+        else:
+            r, j = np.nonzero(s > -2)
+        exact = (q[i + r].astype(np.float64) * v[j].astype(np.float64)).sum(1)
+        order = np.lexsort((j, -exact, r))
+        r, j, exact = r[order], j[order], exact[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        outs.append((i + r[place < k], j[place < k], exact[place < k]))
+    return tuple(np.concatenate(x) for x in zip(*outs))
+
+
 def neighbour_pairs(neighbours: DataFrame, a: str = "chain_id_a", b: str = "chain_id_b") -> DataFrame:
     """Pairs, smaller key first, in which at least one is among the other's most similar."""
     return neighbours.select(F.least("id", "neighbour").alias(a), F.greatest("id", "neighbour").alias(b)).distinct()
 
 
-def exact_neighbours(v: np.ndarray, asked: np.ndarray, k: int, least: float, step: int = 256) -> Iterator[tuple[int, int, float]]:
+def exact_neighbours(v: np.ndarray, asked: np.ndarray, k: int, least: float = -1.0, step: int = 256) -> Iterator[tuple[int, int, float]]:
     """Brute force for tests and recall: the k best of each asked row."""
     for i in range(0, len(asked), step):
         s = v[asked[i : i + step]].astype(np.float64) @ v.T.astype(np.float64)

@@ -70,12 +70,12 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The five most similar chains of each chain, from cosine 0.80 on."""
+    """The five most similar chains of each chain, however far they are."""
     return nb.nearest_neighbours(table(spark, d, "chain_embedding")).withColumn("cosine", F.round("cosine", 6))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return nb.neighbour_pairs(nb.nearest_neighbours(table(spark, d, "chain_embedding")))
+    return nb.neighbour_pairs(nb.nearest_neighbours(table(spark, d, "chain_embedding"), least=0.8))
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -164,6 +164,16 @@ def test_neighbours(spark, cell_rows):
     assert neighbours.nearest_neighbours(vector_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_every_row_has_neighbours(spark):
+    rows = crowd(4)
+    found = neighbours.nearest_neighbours(vector_frame(spark, rows), cell_rows=25).collect()
+    ids, u = unit_rows(rows)
+    want = {(ids[a], ids[b]) for a, b, _ in neighbours.exact_neighbours(u, np.arange(len(ids)), 5)}
+    assert len(want) == 5 * len(ids) == len(found)
+    assert len({(r.id, r.neighbour) for r in found} & want) >= 0.99 * len(want)
+    assert min(r.cosine for r in neighbours.nearest_neighbours(vector_frame(spark, rows), cell_rows=25, least=0.8).collect()) >= 0.8
+
+
 def test_codes_come_near():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 64)).astype(np.float32)
