@@ -56,7 +56,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_selected(spark: SparkSession, d: str) -> DataFrame:
     """The varied subset of each domain."""
     rows = staged(vr.features(table(spark, d, "chain_embedding")), "features")
-    return vr.select_varied(rows, vr.domain_sizes(table(spark, d, "selection_stats")))
+    return vr.select_varied(staged(vr.one_name(rows), "named"), vr.domain_sizes(table(spark, d, "selection_stats")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

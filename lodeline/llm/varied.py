@@ -1,19 +1,19 @@
 """A varied subset: concave coverage of features by descending thresholds.
 
-Method: the features of a row are its prototype (the nearest of many centroids of the collection, weighted by the
-cosine), its crowd (the near-alike rows around it) and its recorded cluster, a hint of little weight. The subset
-maximises the sum over features of the square root of the selected mass, so that every further row of a crowd or a
-prototype gains less. Rounds of descending thresholds add the rows whose marginal gain reaches the threshold; rounds
-run in all prototypes at once, because features lie inside prototypes, and the subset of a domain is cut in the
-round in which its size is reached.
+Method: the features of a row are its crowd (named by the smallest near-alike key, over all cells and blocks;
+names that name one another are one), its prototype (the nearest of many centroids of the collection to the row that names the crowd, weighted by
+the row's own cosine) and its recorded cluster, a hint of little weight. The subset maximises the sum over features of
+the square root of the selected mass, so that every further row of a crowd or a prototype gains less. Rounds of
+descending thresholds add the rows whose marginal gain reaches the threshold; rounds run in all prototypes at once,
+because features lie inside prototypes, and the subset of a domain is cut in the round in which its size is reached.
 
 A row's crowd also tells how many rows are near-alike to it. Counts are exact for the rows that meet; a row meets
 the rows of its own cell and of all cells whose centroids are nearly as near.
 
-Large prototypes are parted by crowd, and crowds of more than `PART_ROWS` rows by row; each part is a feature of its
-own. Defined results: null, short, zero or non-finite vectors are not chosen; repeated rows of one key count once;
-ties go to the smaller key; a domain of fewer rows than its size gives all; null sizes count nothing; an empty table
-gives no rows.
+A prototype of a domain has one mass, however many rows it holds: rows that agree in crowd, hint and weight (to two
+decimals) are counted, and the thresholds run over these counts. Defined results: null, short, zero or non-finite
+vectors are not chosen; repeated rows of one key count once; ties go to the smaller key; a domain of fewer rows than
+its size gives all; null sizes count nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ from pyspark.sql.window import Window
 
 from ..plans.tables import staged
 from . import cells as cl
+from .components import connected_components
 
 ALIKE = 0.95
 PROTOTYPES = 1024
-PART_ROWS = 4096
+SALT_ROWS = 4096
 FALL = 0.85
 HINT = 0.25
 MARGIN, ASK = 0.17, 10
@@ -69,23 +70,36 @@ def features(df: DataFrame, key: str = "chain_id", vector: str = "vector", domai
         g = cl.Group(table, dim)
         here = len(g.ids)
         near, leader = count_near(g.v, g.v, alike)
-        proto = np.zeros(here, np.int64)
-        weight = np.zeros(here, np.float32)
-        for i in range(0, here, 2048):
-            s = g.v[i : i + 2048] @ protos.T
-            proto[i : i + 2048] = s.argmax(1)
-            weight[i : i + 2048] = np.maximum(s.max(1), 0)
-        asked, _ = count_near(g.ask_v, g.v, alike)
+        asked, met_first = count_near(g.ask_v, g.v, alike)
         hit = np.flatnonzero(asked)
+        # a crowd has the prototype of the row that names it
+        proto = cl.nearest(g.v, protos)
+
+        def weight(v: np.ndarray, first: np.ndarray) -> pa.Array:
+            return pa.array(np.maximum((v * protos[proto[first]]).sum(1), 0), pa.float32())
+
         take = pa.array(g.rows_here, pa.int64())
-        own = pa.table({"id": pa.array(g.ids, pa.string()), "near": pa.array(near - 1, pa.int64()), "own": pa.array(np.ones(here, bool)), "prototype": pa.array(proto, pa.int32()), "weight": pa.array(weight, pa.float32()), "crowd": pa.array([g.ids[i] for i in leader], pa.string()), "domain": table.column("domain").take(take), "hint": table.column("hint").take(take)})
+        own = pa.table({"id": pa.array(g.ids, pa.string()), "near": pa.array(near - 1, pa.int64()), "own": pa.array(np.ones(here, bool)), "prototype": pa.array(proto[leader], pa.int32()), "weight": weight(g.v, leader), "crowd": pa.array([g.ids[i] for i in leader], pa.string()), "domain": table.column("domain").take(take), "hint": table.column("hint").take(take)})
+        met_first = met_first[hit]
         k = len(hit)
-        other = pa.table({"id": pa.array([g.ask_ids[i] for i in hit], pa.string()), "near": pa.array(asked[hit], pa.int64()), "own": pa.array(np.zeros(k, bool)), "prototype": pa.nulls(k, pa.int32()), "weight": pa.nulls(k, pa.float32()), "crowd": pa.nulls(k, pa.string()), "domain": pa.nulls(k, pa.string()), "hint": pa.nulls(k, pa.int32())})
+        other = pa.table({"id": pa.array([g.ask_ids[i] for i in hit], pa.string()), "near": pa.array(asked[hit], pa.int64()), "own": pa.array(np.zeros(k, bool)), "prototype": pa.array(proto[met_first], pa.int32()), "weight": weight(g.ask_v[hit], met_first), "crowd": pa.array([g.ids[i] for i in met_first], pa.string()), "domain": pa.nulls(k, pa.string()), "hint": pa.nulls(k, pa.int32())})
         return pa.concat_tables([own, other])
 
     met = routed.groupBy("cell", "block").applyInArrow(meet, "id string, near bigint, own boolean, prototype int, weight float, crowd string, domain string, hint int")
-    home = F.max(F.when(F.col("own"), F.struct("domain", "prototype", "weight", "crowd", "hint"))).alias("f")
-    return met.groupBy("id").agg(F.sum("near").alias("near"), home).select("id", "f.domain", "f.prototype", "f.weight", "f.crowd", "f.hint", "near")
+    home = F.max(F.when(F.col("own"), F.struct("domain", "hint"))).alias("f")
+    crowd = F.min(F.struct("crowd", "prototype", "weight")).alias("c")
+    return met.groupBy("id").agg(F.sum("near").alias("near"), home, crowd).select("id", "f.domain", "c.prototype", "c.weight", "c.crowd", "f.hint", "near")
+
+
+def one_name(rows: DataFrame) -> DataFrame:
+    """rows with the crowds that name one another under the smallest key; a row asks a bounded number of cells, so the row that names a crowd may itself have met a smaller key."""
+    named = rows.where("crowd != id").select("id", "crowd")
+    links = named.join(named.select(F.col("crowd").alias("id")).distinct(), "id", "left_semi")
+    roots = connected_components(links.select(F.col("id").alias("a"), F.col("crowd").alias("b"))).where("node != root")
+    places = rows.select(F.col("id").alias("root"), F.col("prototype").alias("root_prototype"))
+    roots = roots.join(places, "root").select(F.col("node").alias("crowd"), "root", "root_prototype")
+    told = rows.join(roots, "crowd", "left")
+    return told.withColumn("crowd", F.coalesce("root", "crowd")).withColumn("prototype", F.coalesce("root_prototype", "prototype")).select(rows.columns)
 
 
 def count_near(q: np.ndarray, v: np.ndarray, alike: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -112,57 +126,77 @@ def crowded(rows: DataFrame, least: int = 20) -> DataFrame:
 def thresholds(ids: list[str], weight: np.ndarray, crowd: list[str], hint: np.ndarray, fall: float = FALL) -> tuple[np.ndarray, np.ndarray]:
     """(round, gain) in which each row of one prototype is added: descending thresholds over its marginal gain."""
     n = len(ids)
-    order = sorted(range(n), key=ids.__getitem__)
     rounds, gains = np.zeros(n, np.int64), np.zeros(n)
+    for i, _, r, gain in counted_thresholds(ids, weight, crowd, hint, np.ones(n, np.int64), n, fall):
+        rounds[i], gains[i] = r, gain
+    return rounds, gains
+
+
+def counted_thresholds(ids: list[str], weight: np.ndarray, crowd: list[str], hint: np.ndarray, count: np.ndarray, most: int, fall: float = FALL) -> list[tuple[int, int, int, float]]:
+    """(kind, place, round, gain) of each added row of one prototype, given kinds of `count` equal rows and their smallest ids.
+
+    No round follows the one in which `most` rows are reached.
+    """
+    n = len(ids)
+    out: list[tuple[int, int, int, float]] = []
+    taken = np.zeros(n, np.int64)
     mass, crowds, hints = 0.0, {}, {}
     bound = np.full(n, 3.0)
-    left, tau, r = order, 2.0 + HINT, 0
-    while left:
+    left, tau, r = sorted(range(n), key=ids.__getitem__), 2.0 + HINT, 0
+    while left and len(out) < most:
         rest = []
         for i in left:
             if bound[i] < tau:
                 rest.append(i)
                 continue
-            c, h = crowds.get(crowd[i], 0), hints.get(hint[i], 0) if hint[i] >= 0 else 0
-            gain = (mass + weight[i]) ** 0.5 - mass**0.5 + (c + 1) ** 0.5 - c**0.5 + (HINT * ((h + 1) ** 0.5 - h**0.5) if hint[i] >= 0 else 0.0)
-            if gain >= tau:
-                rounds[i], gains[i] = r, gain
-                mass += weight[i]
+            w, k = weight[i], hint[i]
+            while taken[i] < count[i]:
+                c, h = crowds.get(crowd[i], 0), hints.get(k, 0) if k >= 0 else 0
+                gain = (mass + w) ** 0.5 - mass**0.5 + (c + 1) ** 0.5 - c**0.5 + (HINT * ((h + 1) ** 0.5 - h**0.5) if k >= 0 else 0.0)
+                if gain < tau:
+                    bound[i] = gain  # gains only fall
+                    rest.append(i)
+                    break
+                taken[i] += 1
+                out.append((i, int(taken[i]), r, gain))
+                mass += w
                 crowds[crowd[i]] = c + 1
-                if hint[i] >= 0:
-                    hints[hint[i]] = h + 1
-            else:
-                bound[i] = gain  # gains only fall
-                rest.append(i)
+                if k >= 0:
+                    hints[k] = h + 1
         left, tau, r = rest, tau * fall, r + 1
-    return rounds, gains
+    return out
 
 
 def select_varied(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """(domain, chain_id, gain): the subset of each domain; sizes has (domain, size)."""
     rows = rows.where("domain is not null").join(F.broadcast(sizes.where("size > 0").select("domain")), "domain", "left_semi")
-    by_crowd = rows.groupBy("domain", "prototype", "crowd").agg(F.count("*").alias("in_crowd"))
-    by_proto = by_crowd.groupBy("domain", "prototype").agg(F.sum("in_crowd").alias("in_prototype"))
-    parts = F.ceil(F.col("in_prototype") / F.lit(PART_ROWS)).cast("int")
-    placed = rows.join(by_crowd, ["domain", "prototype", "crowd"]).join(by_proto, ["domain", "prototype"])
-    placed = placed.withColumn("part", F.when(F.col("in_crowd") > PART_ROWS, F.pmod(F.xxhash64("id"), parts)).otherwise(F.pmod(F.xxhash64("crowd"), parts)))
+    kind = ["domain", "prototype", "crowd", "hint", "weight"]
+    rows = rows.select("domain", "prototype", "crowd", F.coalesce("hint", F.lit(-1)).alias("hint"), F.round("weight", 2).alias("weight"), "id")
+    kinds = rows.groupBy(*kind).agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
     def add(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_pylist()
-        hint = np.array([-1 if h is None else h for h in table.column("hint").to_pylist()])
-        r, g = thresholds(ids, np.array(table.column("weight").to_pylist(), np.float64), table.column("crowd").to_pylist(), hint)
-        return pa.table({"domain": table.column("domain"), "id": table.column("id"), "round": pa.array(r, pa.int32()), "gain": pa.array(g, pa.float64())})
+        got = counted_thresholds(table.column("first").to_pylist(), np.array(table.column("weight").to_pylist(), np.float64), table.column("crowd").to_pylist(), np.array(table.column("hint").to_pylist()), np.array(table.column("n").to_pylist()), table.column("size")[0].as_py())
+        i, place, r, gain = zip(*got) if got else ((), (), (), ())
+        return table.select([*kind, "first"]).take(pa.array(i, pa.int64())).append_column("place", pa.array(place, pa.int64())).append_column("round", pa.array(r, pa.int32())).append_column("gain", pa.array(gain, pa.float64()))
 
-    added = staged(placed.select("domain", "prototype", "part", "id", "weight", "crowd", "hint").groupBy("domain", "prototype", "part").applyInArrow(add, "domain string, id string, round int, gain double"), "added")
+    fields = "domain string, prototype int, crowd string, hint int, weight float, first string, place bigint, round int, gain double"
+    added = staged(kinds.join(F.broadcast(sizes), "domain").groupBy("domain", "prototype").applyInArrow(add, fields), "added")
     per_round = added.groupBy("domain", "round").agg(F.count("*").alias("n")).join(F.broadcast(sizes), "domain")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("domain").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # rounds are few; a domain's last round is cut by gain
     room = per_round.withColumn("room", F.col("size") - before).where("room > 0").select("domain", "round", "room", (F.col("n") > F.col("room")).alias("cut"))
     open_ = added.join(F.broadcast(room), ["domain", "round"])
     whole = open_.where("not cut")
-    last = open_.where("cut").withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("gain"), "id"))).where(F.col("place") <= F.col("room"))
-    keep = ["domain", F.col("id").alias("chain_id"), "gain"]
-    return whole.select(*keep).unionByName(last.select(*keep))
+    last = open_.where("cut").withColumn("at", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("gain"), "first", "place"))).where(F.col("at") <= F.col("room"))
+    keep = [*kind, "place", "gain"]
+    chosen = whole.select(*keep).unionByName(last.select(*keep))
+    # the smallest keys of a kind, first within shares of it, so that no task sorts a large kind
+    most = chosen.groupBy(*kind).agg(F.max("place").alias("most"))
+    asked = rows.join(most.join(kinds.select(*kind, "n"), kind), kind)
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(SALT_ROWS)))
+    asked = asked.withColumn("salt", salt).withColumn("place", F.row_number().over(Window.partitionBy(*kind, "salt").orderBy("id"))).where(F.col("place") <= F.col("most"))
+    asked = asked.withColumn("place", F.row_number().over(Window.partitionBy(*kind).orderBy("id")))
+    return asked.select(*kind, "id", "place").join(chosen, [*kind, "place"]).select("domain", F.col("id").alias("chain_id"), "gain")
 
 
 def domain_sizes(stats: DataFrame) -> DataFrame:

@@ -210,6 +210,24 @@ def test_thresholds_follow_greedy():
     assert varied.thresholds([], np.array([]), [], np.array([]))[0].size == 0
 
 
+def test_a_crowd_is_one_feature_at_any_size(spark):
+    n = 20_000
+    rows = [("d", 0, "c", 1, 0.9, f"c{i:05d}", n - 1) for i in range(n)] + [("d", 0, f"z{i:03d}", 1, 0.5, f"z{i:03d}", 0) for i in range(300)]
+    feats = spark.createDataFrame(rows, "domain string, prototype int, crowd string, hint int, weight float, id string, near bigint")
+    picked = varied.select_varied(feats, spark.createDataFrame([("d", 250)], "domain string, size bigint")).collect()
+    crowd_ = sorted(r.chain_id for r in picked if r.chain_id.startswith("c"))
+    assert len(picked) == 250 and crowd_ == [f"c{i:05d}" for i in range(len(crowd_))] and 1 <= len(crowd_) <= 2
+
+
+def test_a_crowd_has_one_name_in_all_blocks(spark):
+    rng = np.random.default_rng(1)
+    c = rng.normal(size=64)
+    rows = [(f"k{i:03d}", "d", 0, (c + 0.02 * rng.normal(size=64)).tolist()) for i in range(300)]
+    feats = varied.features(spark.createDataFrame(rows, "chain_id string, domain string, cluster_id int, vector array<float>"), cell_rows=20)
+    named = varied.one_name(feats).collect()
+    assert len(named) == 300 and {r.crowd for r in named} == {"k000"} and len({r.prototype for r in named}) == 1
+
+
 def test_components(spark):
     edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("a", "b"), ("b", "c"), ("c", "a"), ("x", "x"), (None, "y")]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
