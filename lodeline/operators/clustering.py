@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.tables import staged
 from . import vectors as vx
 
 EXACT_ROWS = 4096
@@ -54,20 +55,40 @@ def constrained_linkage(v: np.ndarray, max_size: int = 50, least: float = 0.45,
     return np.unique(owner, return_inverse=True)[1].astype(np.int32)
 
 
-def linkage_within(df: DataFrame, keys: tuple[str, ...], max_size: int = 50, least: float = 0.45, key: str = "chain_id", part_rows: int = EXACT_ROWS, dim: int = vx.DIM) -> DataFrame:
-    """(keys, key, part, label): constrained linkage inside each group; groups above part_rows are clustered in parts by hash."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("__parts"))
-    rows = df.join(sizes, list(keys)).withColumn("part", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int")).select(*keys, key, "part", "vector")
+def linkage_by_component(v: np.ndarray, max_size: int = 50, least: float = 0.45, step: int = 1024) -> np.ndarray:
+    """The labels of constrained_linkage, taken in each component of pairs from `least` on: no merge crosses components."""
+    n = len(v)
+    u = vx.unit(np.asarray(v, np.float64)).astype(np.float32)
+    component, todo, c = np.full(n, -1), [], 0
+    for start in range(n):
+        if component[start] >= 0:
+            continue
+        component[start], todo = c, np.array([start])
+        while len(todo):
+            at, todo = todo[:step], todo[step:]
+            free = np.flatnonzero(component < 0)
+            new = free[(u[free] @ u[at].T).max(1) >= least - 1e-5] if len(free) else free
+            component[new] = c
+            todo = np.concatenate([todo, new])
+        c += 1
+    owner = np.arange(n)
+    for rows in np.split(np.argsort(component, kind="stable"), np.cumsum(np.bincount(component))[:-1]) if n else []:
+        if len(rows) > 1:
+            label = constrained_linkage(v[rows], max_size, least)
+            owner[rows] = rows[np.unique(label, return_index=True)[1]][label]
+    return np.unique(owner, return_inverse=True)[1].astype(np.int32)
+
+
+def linkage_within(df: DataFrame, keys: tuple[str, ...], max_size: int = 50, least: float = 0.45, key: str = "chain_id", dim: int = vx.DIM) -> DataFrame:
+    """(keys, key, label): constrained linkage inside each whole group; the matrix is that of the largest component of near pairs."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(key)
         index, v = vx.to_matrix(table.column("vector"), dim)
-        label = constrained_linkage(v, max_size, least) if len(v) else np.zeros(0, np.int32)
-        rows_ = table.take(pa.array(index)).select([*keys, key, "part"])
-        return rows_.append_column("label", pa.array(label, pa.int32()))
+        return table.take(pa.array(index)).select([*keys, key]).append_column("label", pa.array(linkage_by_component(v, max_size, least), pa.int32()))
 
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in (*keys, key))
-    return rows.groupBy(*keys, "part").applyInArrow(run, f"{fields}, part int, label int")
+    return df.select(*keys, key, "vector").groupBy(*keys).applyInArrow(run, f"{fields}, label int")
 
 
 def _kmeans_model(rows: DataFrame, k: int, seed: int, rounds: int):
@@ -274,28 +295,96 @@ def silhouette(rows: DataFrame, label: str, key: str = "chain_id", sample: int =
 
 
 def density_clusters(df: DataFrame, keys: tuple[str, ...], min_size: int = 5, min_samples: int = 5, key: str = "chain_id", part_rows: int = EXACT_ROWS, dim: int = vx.DIM) -> DataFrame:
-    """(keys, key, label): hierarchical density clusters inside each group of at most part_rows rows; noise is -1.
+    """(keys, key, label): hierarchical density clusters of each whole group; noise is -1.
 
-    Mutual reachability of unit vectors, its spanning tree, and the clusters of greatest stability.
+    Mutual reachability of unit vectors, its spanning tree, and the clusters of greatest stability. A large group is
+    cut into blocks of about part_rows rows: core distances come from all pairs of blocks, and the spanning tree of
+    the group lies in the union of the trees of all pairs.
     """
+    names = list(keys)
+    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in (*keys, key))
     sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("__parts"))
-    rows = df.join(sizes, list(keys)).withColumn("part", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int")).select(*keys, key, "part", "vector")
+    blocks = df.select(*keys, key, "vector").join(sizes, names).withColumn("part", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+    pair = [*names, "low", "high"]
 
-    def run(table: pa.Table) -> pa.Table:
+    def paired(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("other", other).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", "__parts")
+
+    def near(table: pa.Table) -> pa.Table:
+        index, v = vx.to_matrix(table.column("vector"), dim)
+        table, v = table.take(pa.array(index)), vx.unit(v)
+        part = np.array(table.column("part").to_pylist(), np.int64)
+        out = np.full((len(v), min_samples + 1), np.inf)
+        ends = table.column("low")[0].as_py() if len(v) else 0, table.column("high")[0].as_py() if len(v) else 0
+        for x, y in {ends, ends[::-1]}:
+            at, to = np.flatnonzero(part == x), np.flatnonzero(part == y)
+            k = min(min_samples + 1, len(to))
+            for i in range(0, len(at) if k else 0, 1024):
+                d = np.sqrt(np.maximum(2 - 2 * v[at[i : i + 1024]] @ v[to].T, 0))
+                out[at[i : i + 1024], :k] = np.partition(d, k - 1, axis=1)[:, :k]
+        return table.select([*keys, key]).append_column("near", pa.array(list(out), pa.list_(pa.float64())))
+
+    cores = paired(blocks).groupBy(*pair).applyInArrow(near, f"{fields}, near array<double>")
+    nearest = F.filter(F.sort_array(F.flatten(F.collect_list("near"))), lambda x: x < float("inf"))
+    cores = cores.groupBy(*keys, key).agg(nearest.alias("near")).select(*keys, key, F.element_at("near", F.least(F.size("near"), F.lit(min_samples + 1))).alias("core"))
+    cores = staged(cores, "cores")
+
+    def edges(table: pa.Table) -> pa.Table:
         table = table.sort_by(key)
         index, v = vx.to_matrix(table.column("vector"), dim)
-        return table.take(pa.array(index)).select([*keys, key, "part"]).append_column("label", pa.array(density_labels(vx.unit(v), min_size, min_samples), pa.int32()))
-
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in (*keys, key))
-    return rows.groupBy(*keys, "part").applyInArrow(run, f"{fields}, part int, label int")
+        table = table.take(pa.array(index))
+        tree = spanning_tree(vx.unit(v), table.column("core").to_numpy())
+        w, a, b = zip(*tree) if tree else ((), (), ())
+        a, b = pa.array(a, pa.int64()), pa.array(b, pa.int64())
+        ids = table.column(key)
+        return table.select(list(keys)).take(a).append_column("a", ids.take(a)).append_column("b", ids.take(b)).append_column("w", pa.array(w, pa.float64()))
+
+    kind = df.schema[key].dataType.simpleString()
+    groups = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    trees = paired(blocks.join(cores, [*names, key])).groupBy(*pair).applyInArrow(edges, f"{groups}, a {kind}, b {kind}, w double")
+    # rows travel as edges to themselves, so that a group of one row has a label too
+    trees = trees.unionByName(cores.select(*keys, F.col(key).alias("a"), F.col(key).alias("b"), F.lit(-1.0).alias("w")))
+
+    def label(table: pa.Table) -> pa.Table:
+        w = table.column("w").to_numpy()
+        ids = sorted(table.filter(pa.array(w < 0)).column("a").to_pylist())
+        number = {x: i for i, x in enumerate(ids)}
+        ends = [np.array([number[x] for x in table.column(c).to_pylist()], np.int64) for c in ("a", "b")]
+        order = np.lexsort((ends[1], ends[0], w))
+        order = order[w[order] >= 0]
+        root, tree = list(range(len(ids))), []
+        for d, a, b in zip(w[order].tolist(), ends[0][order].tolist(), ends[1][order].tolist()):
+            x, y = a, b
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            while root[y] != y:
+                root[y] = root[root[y]]
+                y = root[y]
+            if x != y:
+                root[y] = x
+                tree.append((d, a, b))
+        got = tree_labels(len(ids), tree, min_size)
+        return table.select(list(keys)).take(pa.array(np.zeros(len(ids), np.int64))).append_column(key, pa.array(ids, table.schema.field("a").type)).append_column("label", pa.array(got, pa.int32()))
+
+    return trees.groupBy(*keys).applyInArrow(label, f"{fields}, label int")
 
 
 def density_labels(v: np.ndarray, min_size: int, min_samples: int) -> np.ndarray:
     n = len(v)
     if n < min_size:
         return np.full(n, -1, np.int32)
+    core = np.sort(np.sqrt(np.maximum(2 - 2 * v @ v.T, 0)), 1)[:, min(min_samples, n - 1)]
+    return tree_labels(n, spanning_tree(v, core), min_size)
+
+
+def spanning_tree(v: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """The edges of the spanning tree of mutual reachability, from the shortest on."""
+    n = len(v)
+    if n < 2:
+        return []
     d = np.sqrt(np.maximum(2 - 2 * v @ v.T, 0))
-    core = np.sort(d, 1)[:, min(min_samples, n - 1)]
     d = np.maximum(np.maximum(core[:, None], core[None]), d)
     # spanning tree from row 0 on
     inside, reach, via, tree = np.zeros(n, bool), d[0].copy(), np.zeros(n, int), []
@@ -303,11 +392,18 @@ def density_labels(v: np.ndarray, min_size: int, min_samples: int) -> np.ndarray
     for _ in range(n - 1):
         reach_out = np.where(inside, np.inf, reach)
         j = int(reach_out.argmin())
-        tree.append((reach_out[j], int(via[j]), j))
+        tree.append((float(reach_out[j]), int(via[j]), j))
         inside[j] = True
         closer = d[j] < reach
         reach[closer], via[closer] = d[j][closer], j
     tree.sort()
+    return tree
+
+
+def tree_labels(n: int, tree: list[tuple[float, int, int]], min_size: int) -> np.ndarray:
+    """The clusters of greatest stability of a spanning tree."""
+    if n < min_size:
+        return np.full(n, -1, np.int32)
     # merge from the shortest edge on; a join of two large sides begins a new cluster over both
     root, members = list(range(n)), {i: [i] for i in range(n)}
     node = {i: None for i in range(n)}  # cluster that a side carries

@@ -120,6 +120,25 @@ def test_density_and_two_stage(spark):
     assert pure == 1 and two.count() == 90
 
 
+def test_linkage_of_whole_groups(spark):
+    rows = points(120, 3)
+    v = np.array([p[4] for p in sorted(rows)])
+    assert (cu.linkage_by_component(v, 50, 0.6) == cu.constrained_linkage(v, 50, 0.6)).all()
+    # 4,200 rows of a group are 2,100 pairs of copies: every pair is one cluster
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2100, 64)).tolist()
+    df = spark.createDataFrame([("d", f"c{i:05d}", x[i // 2]) for i in range(4200)], "domain string, chain_id string, vector array<float>")
+    got = cu.linkage_within(df, ("domain",), 50, 0.95).groupBy("label").count().collect()
+    assert len(got) == 2100 and {r["count"] for r in got} == {2}
+
+
+def test_density_in_blocks_equals_the_whole(spark):
+    rows = sorted(points(90, 3))
+    want = cu.density_labels(vx.unit(np.array([p[4] for p in rows])), 5, 5)
+    got = cu.density_clusters(frame(spark, rows).select(F.lit("d").alias("domain"), "chain_id", "vector"), ("domain",), part_rows=12).collect()
+    assert len(got) == 90 and [r.label for r in sorted(got, key=lambda r: r.chain_id)] == want.tolist()
+
+
 def test_fusion_and_routes(spark):
     a = spark.createDataFrame([("x", 0.9), ("y", -0.2)], "chain_id string, score double")
     b = spark.createDataFrame([("y", 3.0), ("z", 1.0)], "chain_id string, score double")
