@@ -408,15 +408,15 @@ class Evidence:
                 end = body.rstrip(" -¬‐­").rfind(got[0].split("-")[-1])
             for m in _WORDS.finditer(body, start, max(start, end)):
                 w = m.group()
-                if w in common or w.isdigit():
+                if w.isdigit():
                     continue
-                if _ALL_LETTERS.fullmatch(w) and (_NUMBER_HERE.search(body[: m.start()]) or body.strip() == w):
+                if w not in common and _ALL_LETTERS.fullmatch(w) and (_NUMBER_HERE.search(body[: m.start()]) or body.strip() == w):
                     self.numbers.append(i)
                 elif any(c.isdigit() for c in w) and misread_number(w, body[m.start() - 1 : m.start()]):
                     a, z = body.rfind(" ", 0, m.start()) + 1, body.find(" ", m.end())
                     if (z if z >= 0 else len(body)) - a <= 24:  # not inside a code or a link
                         self.numbers.append(i)
-                elif _questionable(w):
+                elif w not in common and _questionable(w):
                     self.words.append((i, w))
 
 
@@ -432,8 +432,8 @@ def fit_model(papers: DataFrame, sample: int = SAMPLE_PAPERS) -> LineModel:
 
 
 def _common(counts: DataFrame, misread: DataFrame) -> frozenset[str]:
-    """At most COMMON_WORDS of the most frequent words that are no misreading of another."""
-    top = counts.join(misread.select("word"), "word", "left_anti").where("n >= 8 and instr(word, '-') = 0").orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
+    """At most COMMON_WORDS of the most frequent words that are no misreading of another and don't look like numbers."""
+    top = counts.join(misread.select("word"), "word", "left_anti").where(f"n >= 8 and instr(word, '-') = 0 and not (word rlike '^(?:{_ALL_LETTERS.pattern})$') and not (word rlike '[0-9]' and word rlike '^{_NUMBER_LIKE.pattern}$')").orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
     return frozenset(r.word for r in top.select("word").collect())
 
 

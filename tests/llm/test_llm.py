@@ -48,6 +48,14 @@ def test_scans(spark):
     assert scans.damaged_lines(df.limit(0)).count() == 0
 
 
+def test_frequent_misread_numbers_are_found(spark):
+    counts = spark.createDataFrame([("lO0", 20), ("2OO", 9), ("lSB", 30), ("lattice", 50)], "word string, n bigint")
+    common = scans._common(counts, spark.createDataFrame([], "word string"))
+    assert common == {"lattice"}
+    page = scans.Page("heated to lO0 K in the lattice\nand kept at lSB K", "J")
+    assert scans.Evidence(page, np.full(2, scans.BODY), common | {"lO0"}).numbers == [0, 1]
+
+
 def test_misreadings():
     for bad, good in (("pre5ent", "present"), ("plionon", "phonon"), ("svmmetry", "symmetry"), ("whi1e", "while"), ("lirnits", "limits"), ("bndge", "bridge"), ("coolmg", "cooling"), ("foUows", "follows"), ("biibbly", "bubbly"), ("bouncl", "bound"), ("efhciency", "efficiency"), ("carmot", "cannot"), ("samphng", "sampling")):
         assert scans.is_misreading(bad, good) and bad in scans.misreadings(good), (bad, good)
