@@ -98,21 +98,21 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    sized = mx.sized_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return mx.source_plan(sized, table(spark, d, "mix_targets")).where("short").select("source")
+    """Sources of which the schedule holds less than their goal."""
+    return p8_shares(spark, d).where("short").select("source")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and reached share of each source."""
+    """Target and reached share of each source in the schedule."""
     sized = _sized(spark, d)
     plan = mx.source_plan(sized, table(spark, d, "mix_targets"))
     return mx.reached_shares(plan, mx.mixed(sized, plan))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The schedule: documents in the order of deadlines."""
+    """The schedule: documents in the order of their slots."""
     sized = _sized(spark, d)
-    return mx.mixed(sized, mx.source_plan(sized, table(spark, d, "mix_targets"))).orderBy("deadline", "release", "source", "start")
+    return mx.mixed(sized, mx.source_plan(sized, table(spark, d, "mix_targets"))).orderBy("slot", "start")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

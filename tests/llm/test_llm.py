@@ -313,33 +313,68 @@ def test_counts_of_any_text(t):
 
 
 def test_mix(spark):
-    rows = [(i, "alpha beta gamma " * 20, "A" if i % 3 else " a-") for i in range(60)] + [(100 + i, "delta " * 30, "b_x") for i in range(10)] + [(200, None, "A"), (201, "text", None), (202, "text", "zz"), (203, "", "B X")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("tokens", F.lit(9))
-    targets = spark.createDataFrame([("A", 0.6, 1), ("B-X", 0.3, 2), ("C", 0.1, 3)], "source string, target_share double, max_repeats int")
+    rows = [(i, "alpha beta gamma " * 20, "A" if i % 3 else " a-") for i in range(60)] + [(100 + i, "delta " * 30, "b_x") for i in range(10)] + [(200, None, "A"), (201, "text", None), (202, "text", "zz"), (203, "", "B X"), (0, "alpha beta gamma " * 20, " a-")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("tokens", F.lit(9)).withColumn("slot", F.lit(1))
+    targets = spark.createDataFrame([("A", 0.6, 1), ("B-X", 0.3, 2), ("C", 0.1, 3), ("D", None, None)], "source string, target_share double, max_repeats int")
     sized = mixing.sized_documents(docs, targets)
-    plan = {r.source: r for r in mixing.source_plan(sized, targets).collect()}
-    total = sum(r.tokens for r in plan.values())
-    assert not plan["A"].short and plan["B-X"].short and plan["C"].short and plan["C"].tokens == 0
-    mix = mixing.mixed(sized, mixing.source_plan(sized, targets), block_tokens=100).orderBy("deadline", "release", "source", "start").collect()
+    plan = mixing.source_plan(sized, targets)
+    tokens = {r.source: r.tokens for r in plan.collect()}
+    total = sum(tokens.values())
+    assert tokens["C"] == 0
+    mix = mixing.mixed(sized, plan, block_tokens=100, bucket_docs=7).orderBy("slot", "start").collect()
     uses = {}
     for r in mix:
         uses[r.doc_id] = uses.get(r.doc_id, 0) + 1
     assert max(n for d, n in uses.items() if d < 100) == 1 and {n for d, n in uses.items() if 100 <= d < 200} == {2}
     assert abs(sum(r.tokens for r in mix if r.source == "A") - 0.6 * total) <= 100
-    shares = {r.source: r.actual_share for r in mixing.reached_shares(mixing.source_plan(sized, targets), mixing.mixed(sized, mixing.source_plan(sized, targets))).collect()}
-    assert abs(sum(shares.values()) - 1) < 1e-9 and shares["C"] == 0
-    assert mixing.mixed(sized.limit(0), mixing.source_plan(sized.limit(0), targets)).count() == 0
-
-
-def test_schedule_keeps_shares_within_a_block(spark):
-    rows = [(i, 100, "A" if i % 2 else "B") for i in range(400)]
-    sized = spark.createDataFrame([(i, s, t) for i, t, s in rows], "doc_id long, source string, tokens long")
+    shares = {r.source: r for r in mixing.reached_shares(plan, mixing.mixed(sized, plan)).collect()}
+    assert abs(sum(r.actual_share for r in shares.values()) - 1) < 1e-9 and shares["C"].actual_share == 0
+    assert {s: r.short for s, r in shares.items()} == {"A": False, "B-X": True, "C": True, "D": False}
+    empty = mixing.source_plan(sized.limit(0), targets)
+    assert mixing.mixed(sized.limit(0), empty).count() == 0 and mixing.reached_shares(empty, mixing.mixed(sized.limit(0), empty)).where("short").count() == 0
+
+
+def fluid_deviation(weights, blocks):
+    """The most blocks by which any source is off the fluid mix, over all slots."""
+    slot_of = mixing.pfair(weights, blocks)
+    n = int(blocks.sum())
+    assert sorted(np.concatenate(slot_of)) == list(range(n))
+    levels = np.unique(np.concatenate([[0], blocks / weights]))
+    at = np.array([np.minimum(x * weights, blocks).sum() for x in levels])
+    worst = 0
+    for w, k, mine in zip(weights, blocks, slot_of):
+        fluid = np.minimum(np.interp(np.arange(n + 1), at, levels) * w, k)
+        given = np.concatenate([[0], np.cumsum(np.bincount(mine, minlength=n))])
+        worst = max(worst, np.abs(given - fluid).max())
+    return worst
+
+
+@settings(max_examples=150, deadline=None)
+@given(hs.lists(hs.tuples(hs.floats(0.001, 1), hs.floats(0.05, 1)), min_size=1, max_size=12), hs.integers(1, 400))
+def test_schedule_keeps_all_sources_within_a_block(sources, size):
+    weights = np.array([w for w, _ in sources]) / sum(w for w, _ in sources)
+    blocks = np.maximum(1, np.ceil(weights * size * np.array([e for _, e in sources]))).astype(int)  # some sources end early
+    assert fluid_deviation(weights, blocks) < 1
+
+
+def test_nine_sources_stay_within_a_block():
+    weights = np.array([0.3, 0.2, 0.15, 0.1, 0.08, 0.07, 0.05, 0.03, 0.02])
+    assert fluid_deviation(weights, np.round(weights * 2000).astype(int)) < 1
+    released = mixing.windows(weights, np.round(weights * 2000).astype(int))
+    slot_of = mixing.pfair(weights, np.round(weights * 2000).astype(int))
+    assert all((r <= s).all() and (s < d).all() for (r, d), s in zip(released, slot_of))
+
+
+def test_schedule_of_documents(spark):
+    sized = spark.createDataFrame([(i, "A" if i % 2 else "B", 100) for i in range(400)], "doc_id long, source string, tokens long")
     targets = spark.createDataFrame([("A", 0.5, 1), ("B", 0.5, 1)], "source string, target_share double, max_repeats int")
-    got = mixing.mixed(sized, mixing.source_plan(sized, targets), block_tokens=100).orderBy("deadline", "release", "source", "start").collect()
+    got = mixing.mixed(sized, mixing.source_plan(sized, targets), block_tokens=100).orderBy("slot", "start").collect()
     a = 0
     for n, r in enumerate(got, 1):
         a += r.source == "A"
         assert abs(a - n / 2) <= 1
+    coarse = mixing.mixed(sized, mixing.source_plan(sized, targets), block_tokens=100, slots=10).agg(F.max("slot"), F.count("*")).first()
+    assert coarse[0] == 9 and coarse[1] == 400
 
 
 # --- 9 skeletons
