@@ -381,14 +381,23 @@ def test_schedule_of_documents(spark):
 
 
 def test_skeletons():
-    same = [("ｆｕｌｌ　ｗｉｄｔｈ", "full width"), ("café", "café"), ("oﬃce", "office"), ("а​b­c", "abc"), ("Кеlvin", "Kelvin"), ("5 K", "5 K"), ("x  y", "x y"), ("µm", "μm"), ("Ω", "Ω"), ("a\r\nb", "a\nb"), ("й", "й")]
+    same = [("ﾃｽﾄ", "テスト"), ("ｶﾞ", "ガ"), ("￥", "¥"), ("ℝ", "R"), ("𝐚𝟎", "a0"), ("Ⅹⅼ", "Xl"), ("㎏", "kg"), ("㎡", "m²"), ("it’s 1–2", "it's 1-2"), ("ρɑᴄ", "pac"), ("ꓮꓐ", "AB"), ("ᎪᏟ", "AC"), ("Кк", "Kк"), ("1⁄2", "1/2")]
+    same += [("ｆｕｌｌ　ｗｉｄｔｈ", "full width"), ("café", "café"), ("oﬃce", "office"), ("а​b­c", "abc"), ("Кеlvin", "Kelvin"), ("5 K", "5 K"), ("x  y", "x y"), ("µm", "μm"), ("Ω", "Ω"), ("a\r\nb", "a\nb"), ("й", "й")]
     for a, b in same:
         assert skeleton.skeleton(a) == skeleton.skeleton(b), (a, b)
-    differ = [("a", "A"), ("10³", "103"), ("x₂", "x2"), ("a\nb", "a b"), ("a\n\nb", "a\nb"), ("e", "é"), ("ab", "a b")]
+    differ = [("①", "1"), ("½", "1/2"), ("0", "O"), ("I", "l"), ("a", "A"), ("10³", "103"), ("x₂", "x2"), ("a\nb", "a b"), ("a\n\nb", "a\nb"), ("e", "é"), ("ab", "a b")]
     for a, b in differ:
         assert skeleton.skeleton(a) != skeleton.skeleton(b), (a, b)
 
 
+def test_table_has_all_forms_of_one_look():
+    for code in range(0x110000):
+        kind, *codes = unicodedata.decomposition(chr(code)).split() or [""]
+        if kind in skeleton.SAME_LOOK and codes[0] != "0020" or unicodedata.category(chr(code)) == "Zs" and chr(code) != " ":
+            assert code in skeleton.PROTOTYPES, hex(code)
+    assert all(skeleton.skeleton(x) == x for x in map(skeleton.skeleton, map(chr, skeleton.PROTOTYPES)))
+
+
 @settings(max_examples=200, deadline=None)
 @given(hs.text(max_size=80))
 def test_skeleton_is_settled(t):
@@ -401,7 +410,10 @@ def test_pairs_of_looks(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("look", F.lit(1)).withColumn("id", F.lit(1))
     got = {(r.doc_id_a, r.doc_id_b) for r in skeleton.look_alike_pairs(df).collect()}
     assert got == {(1, 2), (2, 3), (1, 8), (3, 8), (2, 8), (6, 7)}
-    classes = {r.doc_id: r.class_id for r in skeleton.look_classes(df).collect()}
+    rows = skeleton.look_classes(df).collect()
+    assert {r.doc_id: r.links for r in rows} == {i: sum(i in p for p in got) for i in (1, 2, 3, 4, 6, 7, 8, 9)} and sum(r.links for r in rows) == 2 * len(got)
+    classes = {r.doc_id: r.class_id for r in rows}
+    assert {r.doc_id: r.form_id for r in rows}[3] == 1
     assert classes[8] == 1 and classes[3] == 1 and classes[7] == 6 and 5 not in classes
     assert skeleton.look_alike_pairs(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
