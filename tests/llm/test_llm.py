@@ -262,23 +262,48 @@ def test_blocks_of_a_hot_cell():
 
 
 def brute_leaks(docs, items, least):
+    """(words, document word, item word) of each document and item: the longest match, the first of equals."""
     out = {}
     for d, t in docs:
         w = leaks.words(t or "")
         for i, x in items:
             q = leaks.words(x or "")
-            best = 0
+            best = (0, 0, 0)
             for a in range(len(q)):
                 for b in range(len(w)):
                     n = 0
                     while a + n < len(q) and b + n < len(w) and q[a + n] == w[b + n]:
                         n += 1
-                    best = max(best, n)
-            if best >= least:
-                out[d, i] = best
+                    best = max(best, (n, -b, -a))
+            if best[0] >= least:
+                out[d, i] = (best[0], -best[1], -best[2])
     return out
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_shards_against_brute_force(seed):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range((1, 2, 5, 12)[seed % 4])]  # one word: every phrase repeats itself
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, say(rng.randint(0, 25))) for i in range(8)]
+    docs = [(i, say(rng.randint(0, 15)) + rng.choice([" other ", " "]) + items[i % 8][1] + " " + say(10)) for i in range(20)] + [(99, ""), (98, None)]
+    got = leaks.match_shard(leaks.Probe(items, 4), [d for d, _ in docs], [t for _, t in docs])
+    assert {(d, i): x for d, i, *x in map(tuple, got)} == {k: list(x) for k, x in brute_leaks(docs, items, 4).items()}
+
+
+def test_suffixes_in_order():
+    rng = np.random.default_rng(0)
+    for n, k in ((1, 1), (50, 2), (300, 1), (400, 30)):
+        seq = rng.integers(0, k, n)
+        order = leaks.suffix_array(seq, n)
+        assert order.tolist() == sorted(range(n), key=lambda i: seq[i:].tolist())
+
+
+def test_words_without_markup():
+    assert leaks.words('<a href="%s">W</a> x<br/>y &amp; **z**' % ("q" * 500)) == ["w", "xy", "z"]
+    assert leaks.words("a < b and c > d") == ["a", "b", "and", "c", "d"]
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(12)]
@@ -288,7 +313,7 @@ def test_leaks(spark):
     docs.append((103, "ｗ０ " + items[3][1].replace(" ", "​ ,  ").upper().replace("W", "Ｗ", 2)))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit(0))
     found = leaks.leaks(df, spark.createDataFrame(items, "item_id long, text string"), least=4, shard_docs=7)
-    got = {(r.doc_id, r.item_id): r["words"] for r in found.collect()}
+    got = {(r.doc_id, r.item_id): (r["words"], r.doc_word, r.item_word) for r in found.collect()}
     assert got == brute_leaks(docs, items, 4)
     left = {r.doc_id for r in leaks.without_leaks(df, found).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in got}
