@@ -4,7 +4,8 @@ Method: a rolling hash over a window of characters marks landmarks by content al
 the first landmark between its least and greatest size is taken and moved to the nearest natural boundary: the end
 of a paragraph before a sentence, a sentence before a clause, a clause before a blank. So an edit alters only the
 pieces near it. Without any natural boundary between the sizes the cut falls on the landmark itself, which is a
-forced cut. Every piece but the first begins with the last `overlap` characters of what precedes its cut.
+forced cut; where the stretch without boundary that it falls in is longer than the limit, no cut could have spared it.
+Every piece but the first begins with the last `overlap` characters of what precedes its cut.
 
 Defined results: null texts and texts of at most `limit` characters give no pieces; an empty key gives none;
 texts may be of any length, with no natural boundary at all, or of blanks only; repeated rows give their pieces
@@ -30,15 +31,6 @@ _BLANK = re.compile(r"\s+")
 _STOPS = re.compile(r"[\s。！？；，]")
 
 
-def longest_run(text: str) -> int:
-    """The longest stretch without white space or one of 。！？；，."""
-    best, at = 0, 0
-    for m in _STOPS.finditer(text):
-        best = max(best, m.start() - at)
-        at = m.end()
-    return max(best, len(text) - at)
-
-
 def landmarks(text: str) -> np.ndarray:
     """A 32-bit number for every character, made of the WINDOW characters up to it alone."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -60,24 +52,28 @@ def _boundaries(text: str) -> list[np.ndarray]:
     return [np.array([m.end() for m in p.finditer(text)], np.int64) for p in (_PARAGRAPH, _SENTENCE, _CLAUSE, _BLANK)]
 
 
-def cuts(text: str, limit: int, overlap: int, least: int | None = None) -> list[tuple[int, bool]]:
-    """The ends of all pieces, each with whether it is forced. New text of a piece is at most limit - overlap, of the first at most limit."""
+def cuts(text: str, limit: int, overlap: int, least: int | None = None) -> list[tuple[int, int]]:
+    """The ends of all pieces, each with 0 for a natural cut, 1 for one forced by the overlap, or 2 for one forced by a stretch above the limit.
+
+    New text of a piece is at most limit - overlap, of the first at most limit.
+    """
     n = len(text)
     if n <= limit:
-        return [(n, False)]
+        return [(n, 0)]
     room = limit - overlap
     least = max(overlap, min(least or room // 3, room - 1))
     mask = np.uint32((1 << max(2, int(np.log2(max(4, room // 3))))) - 1)
     marks = landmarks(text)
     chosen = np.flatnonzero((marks & mask) == 0) + 1
     ranks = _boundaries(text)
+    stops = None
     reach = max(16, room // 6)
-    ends: list[tuple[int, bool]] = []
+    ends: list[tuple[int, int]] = []
     at = 0
     while True:
         most = at + (limit if at == 0 else room)
         if n <= most:
-            ends.append((n, False))
+            ends.append((n, 0))
             return ends
         low = at + least
         i = np.searchsorted(chosen, low)
@@ -97,14 +93,19 @@ def cuts(text: str, limit: int, overlap: int, least: int | None = None) -> list[
                     near = b[lo:hi]
                     end = int(near[np.abs(near - target).argmin()])
                     break
-        forced = end < 0
-        end = target if forced else end
+        forced = 0
+        if end < 0:
+            end = target
+            if stops is None:
+                stops = np.array([-1, *(m.start() for m in _STOPS.finditer(text)), n], np.int64)
+            j = np.searchsorted(stops, end)
+            forced = 2 if stops[j] - stops[j - 1] - 1 > limit else 1
         ends.append((end, forced))
         at = end
 
 
-def split(text: str, limit: int, overlap: int, least: int | None = None) -> list[tuple[int, int, bool]]:
-    """(start, end, forced) of all pieces; consecutive pieces share `overlap` characters."""
+def split(text: str, limit: int, overlap: int, least: int | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, forced as in cuts) of all pieces; consecutive pieces share `overlap` characters."""
     at, out = 0, []
     for end, forced in cuts(text, limit, overlap, least):
         out.append((at - overlap if at else 0, end, forced))
@@ -130,7 +131,7 @@ def pieces(df: DataFrame, key: str, text: str, limit: int, overlap: int, least:
                     no.append(i + 1)
                     start.append(s)
                     end.append(e)
-                    forced.append(f)
+                    forced.append(f > 0)
                     if bodies:
                         body.append(t[s:e])
             cols = [pa.array(ids, pa.string()), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(forced, pa.bool_())]
@@ -141,22 +142,19 @@ def pieces(df: DataFrame, key: str, text: str, limit: int, overlap: int, least:
 
 
 def oversized(df: DataFrame, key: str, text: str, limit: int, overlap: int) -> DataFrame:
-    """(item_id, cut, pieces, forced_cuts, longest_run): items that were cut, and whether a cut had to be forced.
+    """(item_id, cut, pieces, forced_cuts): items that were cut, and whether a cut was forced by a stretch longer than the limit.
 
-    A stretch longer than the limit leaves a piece no natural end, so `cut` is 'forced' exactly then; a forced
-    cut in a stretch between limit - overlap and limit is owed to the overlap alone and counted in forced_cuts.
+    A forced cut in a stretch between limit - overlap and limit is owed to the overlap alone; it counts in forced_cuts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = split(t, limit, overlap)
-                if len(got) > 1:
-                    forced = sum(f for _, _, f in got)
-                    run_ = longest_run(t) if forced else 0  # a stretch above the limit can't be cut otherwise
-                    rows.append((k, "forced" if run_ > limit else "natural", len(got), forced, run_))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["item_id", "cut", "pieces", "forced_cuts", "longest_run"])
-
-    return _oversized(df, key, text, limit).mapInArrow(run, "item_id string, cut string, pieces int, forced_cuts int, longest_run bigint").distinct()
+                kinds = [f for _, f in cuts(t, limit, overlap)]
+                if len(kinds) > 1:
+                    rows.append((k, "forced" if 2 in kinds else "natural", len(kinds), sum(f > 0 for f in kinds)))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32()))], ["item_id", "cut", "pieces", "forced_cuts"])
+
+    return _oversized(df, key, text, limit).mapInArrow(run, "item_id string, cut string, pieces int, forced_cuts int").distinct()

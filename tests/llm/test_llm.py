@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -75,8 +76,9 @@ def test_pieces_put_together_again(text, limit):
     assert "".join(text[s if i == 0 else s + overlap : e] for i, (s, e, _) in enumerate(got)) == text
     assert all(e - s <= limit for s, e, _ in got)
     assert all(b[0] == a[1] - overlap for a, b in zip(got, got[1:]))
-    if pieces.longest_run(text) > limit:
-        assert any(f for *_, f in got)
+    # a stretch without white space or one of the marks above the limit, and nothing else, makes a cut of kind 2
+    longest = max(map(len, re.split(r"[\s。！？；，]", text)))
+    assert (longest > limit) == any(f == 2 for *_, f in got)
 
 
 def test_edits_stay_near():
