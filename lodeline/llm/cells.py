@@ -3,7 +3,11 @@
 An index of centroids is fitted on a bounded sample (`sample_rows`, a documented parameter); every row is then
 routed: it lives in the cell of its nearest centroid and asks the cells whose centroids are nearly as near. Cells
 that are too large in the sample are split; what can't be split, because the rows are alike, is spread over
-blocks, and askers visit all blocks. No row is dropped or capped.
+blocks, and askers visit all blocks. No row is dropped or capped. `most=None` is the exact way: every row asks every
+cell.
+
+A vector that is stored more than HOT_COPIES times travels once, with the number of its ids (`set_apart`); its other
+ids are told the result of the one.
 
 A vector counts if it has `dim` finite values that aren't all zero. Rows of one key count once.
 """
@@ -18,9 +22,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..plans.tables import staged
 
 CELL_ROWS = 2000
-SAMPLE_ROWS = 20_000
+BLOCK_ROWS = 16_000
+SAMPLE_ROWS, MOST_SAMPLE_ROWS = 20_000, 200_000
+HOT_COPIES, MOST_HOT = 2000, 1_000_000
+SCORES_AT_ONCE = 4_000_000  # so many products of rows and centroids are held at once
 DIM = 64
 
 
@@ -65,6 +75,44 @@ def sample(rows: DataFrame, n: int, total: int, dim: int = DIM) -> np.ndarray:
     return v[first[np.random.default_rng(1).permutation(len(first))]][: int(n)]
 
 
+def drawn_sample(rows: DataFrame, total: int, sample_rows: int, cell_rows: int, dim: int) -> np.ndarray:
+    """A sample of sample_rows, or of eight rows a cell up to MOST_SAMPLE_ROWS if that is more; never empty."""
+    v = sample(rows, max(sample_rows, min(MOST_SAMPLE_ROWS, 8 * (total // cell_rows))), total, dim)
+    return v if len(v) else np.full((1, dim), dim**-0.5, np.float32)
+
+
+@dataclass
+class Apart:
+    """Rows to be routed, with n ids each, and the copies that were set apart."""
+
+    rows: DataFrame
+    members: DataFrame | None = None  # (id, rep, other columns): every id of a hot vector
+    firsts: DataFrame | None = None  # (rep, id): the smallest ids of a hot vector
+
+
+def set_apart(rows: DataFrame, total: int, hot: int = HOT_COPIES, firsts: int = 6) -> Apart:
+    """A vector stored more than `hot` times is one row, under its smallest id; there are at most MOST_HOT such vectors.
+
+    Counts go by a hash of the vector and are combined before the shuffle; ids of a hot vector are spread by id.
+    """
+    counts = rows.groupBy(F.xxhash64("vector").alias("h")).count()
+    found = [(r.h,) for r in counts.where(F.col("count") > max(hot, total // MOST_HOT)).select("h").collect()]
+    if not found:
+        return Apart(rows.withColumn("n", F.lit(1).cast("bigint")))
+    spark = rows.sparkSession
+    known = F.broadcast(spark.createDataFrame(found, "h long"))
+    tagged = rows.withColumn("h", F.xxhash64("vector"))
+    other = [c for c in rows.columns if c not in ("id", "vector")]
+    members = staged(tagged.join(known, "h").groupBy("h", "id").agg(F.max(F.struct(*other)).alias("o") if other else F.lit(0).alias("o")).select("h", "id", *[f"o.{c}" for c in other]), "copies")
+    reps = members.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    vectors_ = tagged.join(known, "h").groupBy("h").agg(F.first("vector").alias("vector"))
+    one = reps.join(vectors_, "h").join(members.withColumnRenamed("id", "rep"), ["h", "rep"]).select(F.col("rep").alias("id"), "vector", *other, "n")
+    rest = tagged.join(known, "h", "left_anti").select("id", "vector", *other, F.lit(1).cast("bigint").alias("n"))
+    place = F.row_number().over(Window.partitionBy("h").orderBy("id"))
+    small = members.select("h", "id").withColumn("place", place).where(F.col("place") <= firsts).join(F.broadcast(reps.select("h", "rep")), "h").select("rep", "id")
+    return Apart(rest.select(*one.columns).unionByName(one), members.join(F.broadcast(reps.select("h", "rep")), "h").drop("h"), small)
+
+
 def kmeans(v: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """k centroids of unit length (spherical); empty ones are dropped."""
     rng = np.random.default_rng(seed)
@@ -82,7 +130,8 @@ def kmeans(v: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     return c
 
 
-def nearest(v: np.ndarray, c: np.ndarray, step: int = 4096) -> np.ndarray:
+def nearest(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step = max(16, min(4096, SCORES_AT_ONCE // max(1, len(c))))
     return np.concatenate([(v[i : i + step] @ c.T).argmax(1) for i in range(0, len(v), step)]) if len(v) else np.zeros(0, np.int64)
 
 
@@ -93,15 +142,16 @@ class Cells:
     centroids: np.ndarray
     blocks: np.ndarray
 
-    def route(self, v: np.ndarray, hashes: np.ndarray, margin: float, most: int, home: np.ndarray | None = None, also: np.ndarray | None = None, step: int = 2048) -> tuple[np.ndarray, ...]:
-        """(row, cell, block, own): where each row lives (own) and where else it asks: the `most` nearest cells within the margin, and the cells of `also` (-1 for none)."""
+    def route(self, v: np.ndarray, hashes: np.ndarray, margin: float, most: int | None, home: np.ndarray | None = None, also: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(row, cell, block, own): where each row lives (own) and where else it asks: the `most` nearest cells within the margin, or all cells, and the cells of `also` (-1 for none)."""
         k = len(self.centroids)
-        most = min(most, k)
+        margin, most = (np.inf, k) if most is None else (margin, min(most, k))
+        step = max(16, min(2048, SCORES_AT_ONCE // k))
         outs = []
         for i in range(0, len(v), step):
             s = v[i : i + step] @ self.centroids.T
             n = len(s)
-            near = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < k else np.broadcast_to(np.arange(k), (n, k))
+            near = np.argpartition(s, k - most, axis=1)[:, k - most :] if most < k else np.broadcast_to(np.arange(k), (n, k))
             near_s = np.take_along_axis(s, near, 1)
             own = s.argmax(1) if home is None else home[i : i + step]
             ask = (near_s >= s.max(1)[:, None] - margin) & (near != own[:, None])
@@ -132,8 +182,8 @@ class Cells:
         return rows, cells, block, own
 
 
-def fit_cells(v: np.ndarray, total: int, cell_rows: int = CELL_ROWS) -> Cells:
-    """An index for `total` rows from a sample v: about total / cell_rows cells, none above twice its share."""
+def fit_cells(v: np.ndarray, total: int, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS, branch: int = 256) -> Cells:
+    """An index for `total` rows from a sample v: about total / cell_rows cells, none above twice its share, found by splitting into at most `branch` parts at a time."""
     if not len(v):
         return Cells(np.ones((1, DIM), np.float32) / 8, np.ones(1, np.int64))
     share = len(v) / max(total, len(v))  # of all rows in the sample
@@ -142,7 +192,7 @@ def fit_cells(v: np.ndarray, total: int, cell_rows: int = CELL_ROWS) -> Cells:
     first = True
     while todo:
         part = todo.pop()
-        k = max(1, min(round(len(part) / want), len(part) // 8 or 1)) if first else 2
+        k = max(1 if first else 2, min(branch, round(len(part) / want), len(part) // 8 or 1))
         c = kmeans(part, k, seed=5 + len(done))
         own = nearest(part, c)
         first = False
@@ -153,7 +203,7 @@ def fit_cells(v: np.ndarray, total: int, cell_rows: int = CELL_ROWS) -> Cells:
                 todo.append(mine)
             elif len(mine):
                 m = mine.mean(0)
-                done.append((m / max(1e-12, np.linalg.norm(m)), max(1, -(-len(mine) // (2 * want)))))
+                done.append((m / max(1e-12, np.linalg.norm(m)), max(1, int(np.ceil(len(mine) / share / max(block_rows, 2 * cell_rows))))))
     return Cells(np.array([d[0] for d in done], np.float32), np.array([d[1] for d in done], np.int64))
 
 
@@ -166,7 +216,7 @@ def hash_ids(ids: pa.Array) -> np.ndarray:
 ROUTED = "cell int, block int, own boolean, id string, v binary"
 
 
-def routed(rows: DataFrame, cells: Cells, margin: float, most: int, dim: int = DIM) -> DataFrame:
+def routed(rows: DataFrame, cells: Cells, margin: float, most: int | None, dim: int = DIM) -> DataFrame:
     """(cell, block, own, id, v): every row where it lives and where it asks; v is the unit vector as float32."""
     held = rows.sparkSession.sparkContext.broadcast(cells)
 

@@ -7,9 +7,9 @@ removed. Two further rounds of expectation-maximisation run over all rows, sprea
 with too many rows is parted into sub-components in the same space.
 
 Every row lives in its most likely component and asks those whose means are nearly as near. Exact cosines then link
-rows; rows of no or small pieces meet a second time in cells of their own; linked pieces are joined by connected
-components. The members of highest density
-represent a group.
+rows; all rows meet a second time in cells of another index; linked pieces are joined by connected components. The
+members of highest density represent a group. There are at most MOST_COMPONENTS components; what grows with the table
+are the cells inside them.
 
 Defined results: null, short, zero or non-finite vectors are in no group; repeated rows of one key count once; a row
 without links is in no group; ties of density go to the smaller key; an empty table gives no rows.
@@ -33,8 +33,8 @@ from .components import connected_components
 
 LINK = 0.78
 REDUCED = 32
-MARGIN, ASK, SAME = 0.25, 12, 5
-FEW, SECOND_ASK = 50, 6
+MOST_COMPONENTS = 1024
+MARGIN, ASK, SAME, SECOND_ASK = 0.25, 12, 5, 6
 
 
 @dataclass
@@ -60,8 +60,9 @@ class Mixture:
     def step(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expectation: sums of responsibilities, of rows and of their squares, and the log-likelihood."""
         n, s1, s2, total = np.zeros(len(self.weight)), np.zeros(self.centre.shape), np.zeros(self.centre.shape), 0.0
-        for i in range(0, len(z), 4096):
-            part = z[i : i + 4096]
+        step = max(16, cl.SCORES_AT_ONCE // 4 // len(self.weight))
+        for i in range(0, len(z), step):
+            part = z[i : i + step]
             log = self.log_density(part)
             top = log.max(1, keepdims=True)
             r = np.exp(log - top)
@@ -101,12 +102,12 @@ def fit_mixture(v: np.ndarray, start: int, reduced: int = REDUCED, rounds: int =
     k = max(1, min(start, len(v) // 8))
     centres = cl.kmeans(v, k, rounds=6, seed=seed)
     own = cl.nearest(v, centres)
-    hot = np.zeros((len(v), len(centres)), np.float32)
-    hot[np.arange(len(v)), own] = 1
-    n = hot.sum(0)
+    n, s1, s2 = np.bincount(own, minlength=len(centres)).astype(float), np.zeros((len(centres), z.shape[1])), np.zeros((len(centres), z.shape[1]))
+    np.add.at(s1, own, z)
+    np.add.at(s2, own, z * z)
     floor = np.maximum(z.var(0), 1e-9) * 0.05
     mixture = Mixture(mean, scale, axes, np.ones(1), z.mean(0, keepdims=True), z.var(0, keepdims=True) + floor)
-    mixture = mixture.maximised(n, hot.T @ z, hot.T @ (z * z), floor, 0.5)
+    mixture = mixture.maximised(n, s1, s2, floor, 0.5)
     best, least = mixture, np.inf
     cost = (2 * z.shape[1] + 1) / 4
     for _ in range(rounds):
@@ -170,27 +171,31 @@ def part_components(mixture: Mixture, v: np.ndarray, total: int, cell_rows: int)
     return cl.Cells(np.concatenate(centroids), np.concatenate(blocks)), np.concatenate(of)
 
 
-def component_of(mixture: Mixture, v: np.ndarray, step: int = 4096) -> np.ndarray:
+def component_of(mixture: Mixture, v: np.ndarray) -> np.ndarray:
+    step = max(16, cl.SCORES_AT_ONCE // 4 // len(mixture.weight))
     return np.concatenate([mixture.log_density(mixture.reduce(v[i : i + step])).argmax(1) for i in range(0, len(v), step)]) if len(v) else np.zeros(0, np.int64)
 
 
-def live(mixture: Mixture, cells: cl.Cells, of: np.ndarray, v: np.ndarray, step: int = 4096) -> tuple[np.ndarray, ...]:
+def live(mixture: Mixture, cells: cl.Cells, of: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
     """(cell, component, log-density, further cells) of rows: the most likely component and its nearest cells."""
-    homes, comps, dens, more = [], [], [], []
     wide = min(SAME, len(cells.centroids))
+    home, comp, dens, more = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.zeros(len(v)), np.full((len(v), wide), -1)
+    step = max(16, cl.SCORES_AT_ONCE // 4 // len(mixture.weight))
     for i in range(0, len(v), step):
-        part = v[i : i + step]
-        log = mixture.log_density(mixture.reduce(part))
-        comp = log.argmax(1)
-        s = part @ cells.centroids.T
-        s[of[None, :] != comp[:, None]] = -9
-        homes.append(s.argmax(1))
-        near = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
-        more.append(np.where(np.take_along_axis(s, near, 1) > -2, near, -1))
-        comps.append(comp)
+        log = mixture.log_density(mixture.reduce(v[i : i + step]))
+        comp[i : i + step] = log.argmax(1)
         top = log.max(1)
-        dens.append(top + np.log(np.exp(log - top[:, None]).sum(1)))
-    return (np.concatenate(homes), np.concatenate(comps), np.concatenate(dens), np.concatenate(more)) if homes else (np.zeros(0, np.int64),) * 4
+        dens[i : i + step] = top + np.log(np.exp(log - top[:, None]).sum(1))
+    order = np.argsort(comp, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1) if len(v) else []:
+        here = np.flatnonzero(of == comp[mine[0]])  # the cells of one component alone
+        for k in range(0, len(mine), 4096):
+            part = mine[k : k + 4096]
+            s = v[part] @ cells.centroids[here].T
+            near = np.argsort(-s, axis=1, kind="stable")[:, :wide]
+            home[part] = here[near[:, 0]]
+            more[part, : near.shape[1]] = here[near]
+    return home, comp, dens, more
 
 
 def linked(v: np.ndarray, least: float) -> np.ndarray:
@@ -235,7 +240,7 @@ def links_of(g: cl.Group, least: float) -> tuple[np.ndarray, dict[int, str], lis
 
 
 def second_look(rows: DataFrame, least: float, cell_rows: int, sample_rows: int, dim: int) -> DataFrame:
-    """(id, root): links among the rows of no or small pieces, met again in cells of their own, for what the first cells kept apart."""
+    """(id, root): links among rows of different pieces, met again in cells of their own, for what the first cells kept apart."""
     spark = rows.sparkSession
     total = rows.count()
     drawn = rows.where(cl.hash_share("id", 1.0 if total <= sample_rows else sample_rows / total)).select("v").toArrow().column("v")
@@ -259,20 +264,20 @@ def second_look(rows: DataFrame, least: float, cell_rows: int, sample_rows: int,
     return rows.mapInArrow(spread, cl.ROUTED).groupBy("cell", "block").applyInArrow(meet, "id string, root string")
 
 
-def similarity_groups(df: DataFrame, key: str = "chain_id", vector: str = "vector", least: float = LINK, domain: str | None = "domain", dim: int = cl.DIM, sample_rows: int = cl.SAMPLE_ROWS, cell_rows: int = cl.CELL_ROWS) -> DataFrame:
-    """(id, group, density, component[, domain]): every row that is linked to another; group is its smallest key."""
+def similarity_groups(df: DataFrame, key: str = "chain_id", vector: str = "vector", least: float = LINK, domain: str | None = "domain", dim: int = cl.DIM, sample_rows: int = cl.SAMPLE_ROWS, cell_rows: int = cl.CELL_ROWS, margin: float = MARGIN, ask: int | None = ASK, hot: int = cl.HOT_COPIES) -> DataFrame:
+    """(id, group, density, component[, domain]): every row that is linked to another; group is its smallest key.
+
+    `ask` is how many further cells within `margin` of the nearest a row asks at most; None asks all cells and is exact.
+    """
     rows = cl.vectors(df, key, vector, *([domain] if domain else []))
-    if domain and domain != "domain":
-        rows = rows.withColumnRenamed(domain, "domain")
+    rows = rows.withColumnRenamed(domain, "domain") if domain else rows.withColumn("domain", F.lit(None).cast("string"))
     total = rows.count()
     spark = rows.sparkSession
-    drawn = cl.sample(rows, max(sample_rows, min(200_000, 8 * (total // cell_rows))), total, dim)
-    if not len(drawn):
-        drawn = np.full((1, dim), dim**-0.5, np.float32)
-    mixture = refine(rows, fit_mixture(drawn, start=max(4, len(drawn) // 32)), dim=dim)
+    drawn = cl.drawn_sample(rows, total, sample_rows, cell_rows, dim)
+    mixture = refine(rows, fit_mixture(drawn, start=max(4, min(MOST_COMPONENTS, len(drawn) // 32))), dim=dim)
     cells, of = part_components(mixture, drawn, total, cell_rows)
     held = spark.sparkContext.broadcast((mixture, cells, of))
-    with_domain = domain is not None
+    apart = cl.set_apart(rows, total, hot)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, index, owner = held.value
@@ -280,16 +285,15 @@ def similarity_groups(df: DataFrame, key: str = "chain_id", vector: str = "vecto
             at, v = cl.matrix(b.column("vector"), dim)
             if not len(at):
                 continue
-            ids = b.column("id").take(pa.array(at))
-            names = b.column("domain").take(pa.array(at)) if with_domain else pa.nulls(len(at), pa.string())
+            ids, names, copies = (b.column(c).take(pa.array(at)) for c in ("id", "domain", "n"))
             home, comp, dens, more = live(m, index, owner, v)
-            r, c, k, own = index.route(v, cl.hash_ids(ids), MARGIN, ASK, home, more)
+            r, c, k, own = index.route(v, cl.hash_ids(ids), margin, ask, home, more)
             for i in range(0, len(r), 20_000):
                 j = r[i : i + 20_000]
                 take = pa.array(j)
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], pa.int32()), pa.array(k[i : i + 20_000], pa.int32()), pa.array(own[i : i + 20_000]), ids.take(take), cl.packed(v[j]), pa.array(dens[j], pa.float64()), pa.array(comp[j], pa.int32()), names.take(take)], ["cell", "block", "own", "id", "v", "density", "component", "domain"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], pa.int32()), pa.array(k[i : i + 20_000], pa.int32()), pa.array(own[i : i + 20_000]), ids.take(take), cl.packed(v[j]), pa.array(dens[j], pa.float64()), pa.array(comp[j], pa.int32()), names.take(take), copies.take(take)], ["cell", "block", "own", "id", "v", "density", "component", "domain", "n"])
 
-    routed = rows.mapInArrow(spread, cl.ROUTED + ", density double, component int, domain string")
+    routed = apart.rows.mapInArrow(spread, cl.ROUTED + ", density double, component int, domain string, n bigint")
 
     def meet(table: pa.Table) -> pa.Table:
         g = cl.Group(table, dim)
@@ -299,20 +303,24 @@ def similarity_groups(df: DataFrame, key: str = "chain_id", vector: str = "vecto
         ids = [g.ask_ids[a] for a, _ in asked] + g.ids
         roots = [r for _, r in asked] + [root[n] for n in label.tolist()]
         own = pa.array(np.arange(len(ids)) >= len(asked))
-        few = pa.array(np.concatenate([np.zeros(len(asked), bool), size <= FEW]))
-        v = pc.if_else(few, table.column("v").combine_chunks().take(at), pa.scalar(None, pa.binary()))
+        v = pc.if_else(own, table.column("v").combine_chunks().take(at), pa.scalar(None, pa.binary()))
         alone = pa.array(np.concatenate([np.zeros(len(asked), bool), size < 2]))
+        alone = pc.and_(alone, pc.equal(table.column("n").combine_chunks().take(at), 1))
         return pa.table({"id": pa.array(ids, pa.string()), "root": pa.array(roots, pa.string()), "own": own, "alone": alone, "v": v, **{c: table.column(c).take(at) for c in ("density", "component", "domain")}})
 
     met = staged(routed.groupBy("cell", "block").applyInArrow(meet, "id string, root string, own boolean, alone boolean, v binary, density double, component int, domain string"), "linked")
     # a row that asks elsewhere ties its own piece to the pieces it meets there
     homes = met.where("own").select("id", F.col("root").alias("home"))
     ties = met.where("not own").join(homes, "id").select(F.col("home").alias("a"), F.col("root").alias("b"))
-    again = second_look(met.where("own and v is not null").select("id", "v"), least, cell_rows, sample_rows, dim)
+    again = second_look(met.where("own").select("id", "v"), least, cell_rows, sample_rows, dim)
     again = again.join(homes, "id").join(homes.select(F.col("id").alias("root"), F.col("home").alias("b")), "root").select(F.col("home").alias("a"), "b")
     ties = ties.unionByName(again).where("a != b").distinct()
     joined = connected_components(ties)
     members = met.where("own").join(joined, met.root == joined.node, "left").select("id", F.coalesce(joined.root, met.root).alias("piece"), (F.col("alone") & joined.root.isNull()).alias("single"), "density", "component", "domain").where("not single").drop("single")
+    if apart.members is not None:
+        of_rep = members.select(F.col("id").alias("rep"), "piece", "density", "component")
+        copies = apart.members.where("id != rep").join(of_rep, "rep").select("id", "piece", "density", "component", "domain")
+        members = members.unionByName(copies)
     # pieces are named after their smallest key, but not each piece of a group is
     first = members.groupBy("piece").agg(F.min("id").alias("group"))
     return members.join(first, "piece").drop("piece")

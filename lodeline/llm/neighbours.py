@@ -5,12 +5,14 @@ search; the norm of the sum is stored beside the codes. An asker's products with
 the score of a resident is the sum of its words' entries over its norm. The best scores are reranked exactly. The
 first codebook holds centroids of the collection; an index of cells tells who is compared with whom.
 
-Codebooks and cells are fitted on a bounded sample; every row is coded and asks. Where a whole cell passes, only
-the exact rerank decides the order; ties go to the smaller key. Without a least cosine, rows that don't find k
-neighbours from `SURE` on look again, by exact products, in far larger cells and without a margin.
+Codebooks and cells are fitted on a bounded sample; every row is coded once, in the task where it lives, and asks.
+Where a whole cell passes, only the exact rerank decides the order; ties go to the smaller key. Without a least cosine,
+rows that don't find k neighbours from `SURE` on look again, by exact products, in far larger cells and without a
+margin. `ask=None` is the exact way: every row asks every cell and no score replaces a product.
 
 Defined results: null, short, zero or non-finite vectors count as absent; repeated rows of one key count once; an
-empty table gives no rows; exact copies under other keys are neighbours with cosine 1.
+empty table gives no rows; exact copies under other keys are neighbours with cosine 1, of a vector with very many
+copies those of smallest key.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ BOOKS, WORDS, BEAM, RERANK = 24, 64, 2, 192
 FIRST_WORDS = 1024
 MARGIN, ASK = 0.17, 8
 SURE = 0.8
-WIDE_ROWS, WIDE_ASK = 16_000, 16
+WIDE_ROWS, WIDE_ASK = 64_000, 4
 
 
 def _one_hot(own: np.ndarray, size: int) -> np.ndarray:
@@ -150,43 +152,55 @@ def search(q: np.ndarray, v: np.ndarray, first: np.ndarray, codebooks: Codebooks
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
-def nearest_neighbours(df: DataFrame, key: str = "chain_id", vector: str = "vector", k: int = 5, least: float | None = None, dim: int = cl.DIM, sample_rows: int = cl.SAMPLE_ROWS, cell_rows: int = cl.CELL_ROWS) -> DataFrame:
+def nearest_neighbours(df: DataFrame, key: str = "chain_id", vector: str = "vector", k: int = 5, least: float | None = None, dim: int = cl.DIM, sample_rows: int = cl.SAMPLE_ROWS, cell_rows: int = cl.CELL_ROWS, margin: float = MARGIN, ask: int | None = ASK, rerank: int = RERANK, hot: int = cl.HOT_COPIES) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar rows of every row, as far as their cosine is at least `least`, if that is given."""
     rows = cl.vectors(df, key, vector)
     floor = SURE if least is None else least
     total = rows.count()
-    want = max(sample_rows, min(200_000, 8 * (total // cell_rows)))
-    drawn = cl.sample(rows, want, total, dim)
+    drawn = cl.drawn_sample(rows, total, sample_rows, cell_rows, dim)
     cells = cl.fit_cells(drawn, total, cell_rows)
-    if not len(drawn):
-        drawn = np.full((1, dim), dim**-0.5, np.float32)
     first = cl.kmeans(drawn, max(1, min(FIRST_WORDS, len(drawn) // 20)), rounds=6)
     rest = drawn[:10_000] - first[cl.nearest(drawn[:10_000], first)]
     model = rows.sparkSession.sparkContext.broadcast((first, Codebooks.fit(rest)))
-    spread = cl.routed(rows, cells, MARGIN, ASK, dim)
+    apart = cl.set_apart(rows, total, max(hot, k + 1), k + 1)
+    spread = cl.routed(apart.rows, cells, margin, ask, dim)
+    exact = ask is None
 
     def meet(table: pa.Table) -> pa.Table:
         first, books = model.value
         g = cl.Group(table, dim)
         pa_q, pa_v, pa_s = [], [], []
-        for q, ids, skip in ((g.v, g.ids, np.arange(len(g.ids))), (g.ask_v, g.ask_ids, None)):
-            a, b, s = search(q, g.v, first, books, k, floor, skip=skip)
-            pa_q += [ids[i] for i in a.tolist()]
-            pa_v += [g.ids[i] for i in b.tolist()]
-            pa_s.append(s)
+        for q, ids, skip in ((g.v, g.ids, np.arange(len(g.ids))), (g.ask_v, g.ask_ids, np.full(len(g.ask_ids), -1))):
+            a, b, s = best_exact(q, g.v, k, skip) if exact else search(q, g.v, first, books, k, floor, rerank=rerank, skip=skip)
+            near = np.flatnonzero(s >= floor) if least is not None or not exact else np.arange(len(s))
+            pa_q += [ids[i] for i in a[near].tolist()]
+            pa_v += [g.ids[i] for i in b[near].tolist()]
+            pa_s.append(s[near])
         return pa.table({"id": pa.array(pa_q, pa.string()), "neighbour": pa.array(pa_v, pa.string()), "cosine": pa.array(np.concatenate(pa_s), pa.float64())})
 
     found = spread.groupBy("cell", "block").applyInArrow(meet, "id string, neighbour string, cosine double")
-    if least is None:
+    if least is None and not exact:
         found = staged(found, "near")
         done = found.groupBy("id").agg(F.count_distinct("neighbour").alias("n")).where(F.col("n") >= k).select("id", F.lit(True).alias("done"))
-        more = _wide(rows.join(done, "id", "left"), drawn, total, k, dim)
+        more = _wide(apart.rows.join(done, "id", "left"), drawn, total, k, dim)
         found = found.unionByName(more).groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
+    if apart.members is not None:
+        found = _with_copies(found, apart)
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _wide(rows: DataFrame, drawn: np.ndarray, total: int, k: int, dim: int, cell_rows: int = WIDE_ROWS, most: int = WIDE_ASK) -> DataFrame:
+def _with_copies(found: DataFrame, apart: cl.Apart) -> DataFrame:
+    """A neighbour with very many copies stands for its smallest keys; such copies themselves are next to one another."""
+    firsts = apart.firsts
+    known = F.broadcast(firsts.select(F.col("rep").alias("neighbour"), F.col("id").alias("copy")))
+    near = found.join(F.broadcast(firsts.select(F.col("rep").alias("id")).distinct()), "id", "left_anti")
+    near = near.join(known, "neighbour", "left").select("id", F.coalesce("copy", "neighbour").alias("neighbour"), "cosine")
+    own = apart.members.select("id", "rep").join(F.broadcast(firsts.withColumnRenamed("id", "neighbour")), "rep").where("id != neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
+    return near.unionByName(own)
+
+
+def _wide(rows: DataFrame, drawn: np.ndarray, total: int, k: int, dim: int, cell_rows: int = WIDE_ROWS, most: int | None = WIDE_ASK) -> DataFrame:
     """(id, neighbour, cosine): the k best rows in each of the `most` nearest wide cells, for rows that aren't `done`."""
     held = rows.sparkSession.sparkContext.broadcast(cl.fit_cells(drawn, total, cell_rows))
 
@@ -217,19 +231,36 @@ def _wide(rows: DataFrame, drawn: np.ndarray, total: int, k: int, dim: int, cell
     return spread_rows.groupBy("cell", "block").applyInArrow(meet, "id string, neighbour string, cosine double")
 
 
-def best_exact(q: np.ndarray, v: np.ndarray, k: int, skip: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(asker, resident, cosine) of the k best residents of each asker by exact products; skip[i] is the resident that asker i is itself, or -1."""
+def best_exact(q: np.ndarray, v: np.ndarray, k: int, skip: np.ndarray, step: int = 256, wide: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asker, resident, cosine) of the k best residents of each asker by exact products; skip[i] is the resident that asker i is itself, or -1.
+
+    Residents come in strips; only what reaches an asker's k-th best of the strips so far is kept.
+    """
     outs = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for i in range(0, len(q) if len(v) else 0, step):
-        s = q[i : i + step] @ v.T
-        mine = np.flatnonzero(skip[i : i + step] >= 0)
-        s[mine, skip[i + mine]] = -2
-        if s.shape[1] > 2 * k:  # equals of the k-th count, so that ties go to the smaller key
-            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            r, j = np.nonzero(s >= least[:, None] - 1e-6)
-        else:
-            r, j = np.nonzero(s > -2)
-        exact = (q[i + r].astype(np.float64) * v[j].astype(np.float64)).sum(1)
+        part, mine = q[i : i + step], skip[i : i + step]
+        bar = np.full(len(part), -1.5, np.float32)
+        rows, cols, best = [], [], np.full((len(part), k), -2.0, np.float32)
+        for j in range(0, len(v), wide):
+            s = part @ v[j : j + wide].T
+            here = np.flatnonzero((mine >= j) & (mine < j + s.shape[1]))
+            s[here, mine[here] - j] = -2
+            if j == 0 and s.shape[1] > k:
+                bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            r, c = np.nonzero(s >= bar[:, None] - 1e-6)  # equals of the k-th count, so that ties go to the smaller key
+            rows.append(r)
+            cols.append(c + j)
+            if len(r) and j + wide < len(v):
+                at = np.arange(len(r)) - np.searchsorted(r, r)
+                held = np.full((len(part), k + int(at.max()) + 1), -2.0, np.float32)
+                held[:, :k] = best
+                held[r, k + at] = s[r, c]
+                best = -np.partition(-held, k - 1, axis=1)[:, :k]
+                bar = best.min(1)
+        r, j = np.concatenate(rows), np.concatenate(cols)
+        exact = (part[r].astype(np.float64) * v[j].astype(np.float64)).sum(1)
+        keep = mine[r] != j
+        r, j, exact = r[keep], j[keep], exact[keep]
         order = np.lexsort((j, -exact, r))
         r, j, exact = r[order], j[order], exact[order]
         place = np.arange(len(r)) - np.searchsorted(r, r)

@@ -49,14 +49,24 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def _covered(spark: SparkSession, d: str) -> DataFrame:
+    return vr.covered(table(spark, d, "chain_embedding"), table(spark, d, "selection_stats"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return vr.crowded(vr.features(table(spark, d, "chain_embedding"))).select("chain_id")
+    """Rows of the coverage run whose crowd holds at least 20 others: those that the subset must not be filled from."""
+    return _covered(spark, d).where("near >= 20").select("chain_id")
 
 
 def p3_selected(spark: SparkSession, d: str) -> DataFrame:
     """The varied subset of each domain."""
-    rows = staged(vr.features(table(spark, d, "chain_embedding")), "features")
-    return vr.select_varied(staged(vr.one_name(rows), "named"), vr.domain_sizes(table(spark, d, "selection_stats")))
+    return _covered(spark, d).where("chosen").select("domain", "chain_id", "gain")
+
+
+def p3_crowds(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each large crowd there are and how many were chosen."""
+    rows = _covered(spark, d).groupBy("domain", "crowd").agg(F.count("*").alias("size"), F.count_if("chosen").alias("chosen"))
+    return rows.where("size >= 20")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +139,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return sk.with_skeleton(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5("skeleton").alias("form_md5"), F.length("skeleton").alias("form_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p2_found, p2_pieces, p3_found, p3_selected, p5_found, p5_groups, p6_found, p6_neighbours, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p2_found, p2_pieces, p3_found, p3_selected, p3_crowds, p5_found, p5_groups, p6_found, p6_neighbours, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
 SQL: dict[str, str] = {
     "p2_found": r"""
 SELECT DISTINCT field, item_id,

@@ -7,13 +7,14 @@ the square root of the selected mass, so that every further row of a crowd or a
 descending thresholds add the rows whose marginal gain reaches the threshold; rounds run in all prototypes at once,
 because features lie inside prototypes, and the subset of a domain is cut in the round in which its size is reached.
 
-A row's crowd also tells how many rows are near-alike to it. Counts are exact for the rows that meet; a row meets
-the rows of its own cell and of all cells whose centroids are nearly as near.
+A row's crowd feature also tells its mass, the number of rows that are near-alike to it: `near`. Counts are exact for
+the rows that meet; a row meets the rows of its own cell and of the cells whose centroids are nearly as near, or of all
+cells (`ask=None`).
 
 A prototype of a domain has one mass, however many rows it holds: rows that agree in crowd, hint and weight (to two
 decimals) are counted, and the thresholds run over these counts. Defined results: null, short, zero or non-finite
-vectors are not chosen; repeated rows of one key count once; ties go to the smaller key; a domain of fewer rows than
-its size gives all; null sizes count nothing; an empty table gives no rows.
+vectors are not chosen; repeated rows of one key count once; ties go by a hash of the key; a domain of fewer rows than
+its size gives all; null sizes count nothing; an empty table gives no rows. A row of null domain is in no subset.
 """
 
 from __future__ import annotations
@@ -33,21 +34,21 @@ from .components import connected_components
 ALIKE = 0.95
 PROTOTYPES = 1024
 SALT_ROWS = 4096
+HASH_BINS = 4096
 FALL = 0.85
 HINT = 0.25
 MARGIN, ASK = 0.17, 10
 
 
-def features(df: DataFrame, key: str = "chain_id", vector: str = "vector", domain: str = "domain", cluster: str = "cluster_id", alike: float = ALIKE, dim: int = cl.DIM, sample_rows: int = cl.SAMPLE_ROWS, cell_rows: int = cl.CELL_ROWS) -> DataFrame:
+def features(df: DataFrame, key: str = "chain_id", vector: str = "vector", domain: str = "domain", cluster: str = "cluster_id", alike: float = ALIKE, dim: int = cl.DIM, sample_rows: int = cl.SAMPLE_ROWS, cell_rows: int = cl.CELL_ROWS, margin: float = MARGIN, ask: int | None = ASK, hot: int = cl.HOT_COPIES) -> DataFrame:
     """(id, domain, prototype, weight, crowd, hint, near): the features of every row; near counts the other rows with cosine >= alike."""
     rows = cl.vectors(df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("vector"), F.col(f"`{domain}`").alias("domain"), F.col(f"`{cluster}`").cast("int").alias("hint")), "id", "vector", "domain", "hint")
     total = rows.count()
-    drawn = cl.sample(rows, max(sample_rows, min(200_000, 8 * (total // cell_rows))), total, dim)
-    if not len(drawn):
-        drawn = np.full((1, dim), dim**-0.5, np.float32)
+    drawn = cl.drawn_sample(rows, total, sample_rows, cell_rows, dim)
     cells = cl.fit_cells(drawn, total, cell_rows)
     prototypes = cl.kmeans(drawn, max(1, min(PROTOTYPES, len(drawn) // 20)), rounds=6)
     held = rows.sparkSession.sparkContext.broadcast((cells, prototypes))
+    apart = cl.set_apart(rows, total, hot)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, _ = held.value
@@ -56,21 +57,23 @@ def features(df: DataFrame, key: str = "chain_id", vector: str = "vector", domai
             if not len(at):
                 continue
             take = pa.array(at)
-            ids, names, hints = (b.column(c).take(take) for c in ("id", "domain", "hint"))
-            r, c, k, own = index.route(v, cl.hash_ids(ids), MARGIN, ASK)
+            ids, names, hints, copies = (b.column(c).take(take) for c in ("id", "domain", "hint", "n"))
+            r, c, k, own = index.route(v, cl.hash_ids(ids), margin, ask)
             for i in range(0, len(r), 20_000):
                 j = r[i : i + 20_000]
                 t = pa.array(j)
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], pa.int32()), pa.array(k[i : i + 20_000], pa.int32()), pa.array(own[i : i + 20_000]), ids.take(t), cl.packed(v[j]), names.take(t), hints.take(t)], ["cell", "block", "own", "id", "v", "domain", "hint"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], pa.int32()), pa.array(k[i : i + 20_000], pa.int32()), pa.array(own[i : i + 20_000]), ids.take(t), cl.packed(v[j]), names.take(t), hints.take(t), copies.take(t)], ["cell", "block", "own", "id", "v", "domain", "hint", "n"])
 
-    routed = rows.mapInArrow(spread, cl.ROUTED + ", domain string, hint int")
+    routed = apart.rows.mapInArrow(spread, cl.ROUTED + ", domain string, hint int, n bigint")
 
     def meet(table: pa.Table) -> pa.Table:
         _, protos = held.value
         g = cl.Group(table, dim)
         here = len(g.ids)
-        near, leader = count_near(g.v, g.v, alike)
-        asked, met_first = count_near(g.ask_v, g.v, alike)
+        take = pa.array(g.rows_here, pa.int64())
+        copies = table.column("n").take(take).to_numpy()
+        near, leader = count_near(g.v, g.v, alike, copies)
+        asked, met_first = count_near(g.ask_v, g.v, alike, copies)
         hit = np.flatnonzero(asked)
         # a crowd has the prototype of the row that names it
         proto = cl.nearest(g.v, protos)
@@ -78,7 +81,6 @@ def features(df: DataFrame, key: str = "chain_id", vector: str = "vector", domai
         def weight(v: np.ndarray, first: np.ndarray) -> pa.Array:
             return pa.array(np.maximum((v * protos[proto[first]]).sum(1), 0), pa.float32())
 
-        take = pa.array(g.rows_here, pa.int64())
         own = pa.table({"id": pa.array(g.ids, pa.string()), "near": pa.array(near - 1, pa.int64()), "own": pa.array(np.ones(here, bool)), "prototype": pa.array(proto[leader], pa.int32()), "weight": weight(g.v, leader), "crowd": pa.array([g.ids[i] for i in leader], pa.string()), "domain": table.column("domain").take(take), "hint": table.column("hint").take(take)})
         met_first = met_first[hit]
         k = len(hit)
@@ -88,7 +90,12 @@ def features(df: DataFrame, key: str = "chain_id", vector: str = "vector", domai
     met = routed.groupBy("cell", "block").applyInArrow(meet, "id string, near bigint, own boolean, prototype int, weight float, crowd string, domain string, hint int")
     home = F.max(F.when(F.col("own"), F.struct("domain", "hint"))).alias("f")
     crowd = F.min(F.struct("crowd", "prototype", "weight")).alias("c")
-    return met.groupBy("id").agg(F.sum("near").alias("near"), home, crowd).select("id", "f.domain", "c.prototype", "c.weight", "c.crowd", "f.hint", "near")
+    told = met.groupBy("id").agg(F.sum("near").alias("near"), home, crowd).select("id", "f.domain", "c.prototype", "c.weight", "c.crowd", "f.hint", "near")
+    if apart.members is None:
+        return told
+    told = staged(told, "features")
+    of_rep = told.select(F.col("id").alias("rep"), "prototype", "weight", "crowd", "near")
+    return told.unionByName(apart.members.where("id != rep").join(of_rep, "rep").select(*told.columns))
 
 
 def one_name(rows: DataFrame) -> DataFrame:
@@ -102,27 +109,23 @@ def one_name(rows: DataFrame) -> DataFrame:
     return told.withColumn("crowd", F.coalesce("root", "crowd")).withColumn("prototype", F.coalesce("root_prototype", "prototype")).select(rows.columns)
 
 
-def count_near(q: np.ndarray, v: np.ndarray, alike: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(residents with cosine >= alike, the first of them) for every asker; doubtful cosines are taken again in double precision."""
+def count_near(q: np.ndarray, v: np.ndarray, alike: float, copies: np.ndarray | None = None, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(residents with cosine >= alike, each as often as it has copies, and the first of them) for every asker; doubtful cosines are taken again in double precision."""
     count, first = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
     if not len(v):
         return count, first
+    single = copies is None or (copies == 1).all()
     for i in range(0, len(q), step):
         s = q[i : i + step] @ v.T
         a, b = np.nonzero(np.abs(s - alike) < 2e-6)
         if len(a):
             s[a, b] = np.where((q[i + a].astype(np.float64) * v[b].astype(np.float64)).sum(1) >= alike, 1.0, 0.0)
         hit = s >= alike
-        count[i : i + step] = hit.sum(1)
+        count[i : i + step] = hit.sum(1) if single else hit @ copies
         first[i : i + step] = hit.argmax(1)
     return count, first
 
 
-def crowded(rows: DataFrame, least: int = 20) -> DataFrame:
-    """(chain_id, near): rows with at least `least` near-alike others."""
-    return rows.where(F.col("near") >= least).select(F.col("id").alias("chain_id"), "near")
-
-
 def thresholds(ids: list[str], weight: np.ndarray, crowd: list[str], hint: np.ndarray, fall: float = FALL) -> tuple[np.ndarray, np.ndarray]:
     """(round, gain) in which each row of one prototype is added: descending thresholds over its marginal gain."""
     n = len(ids)
@@ -183,11 +186,11 @@ def select_varied(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     added = staged(kinds.join(F.broadcast(sizes), "domain").groupBy("domain", "prototype").applyInArrow(add, fields), "added")
     per_round = added.groupBy("domain", "round").agg(F.count("*").alias("n")).join(F.broadcast(sizes), "domain")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("domain").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # rounds are few; a domain's last round is cut by gain
+    # rounds are few; a domain's last round is cut by gain, equal gains in the order of a hash
     room = per_round.withColumn("room", F.col("size") - before).where("room > 0").select("domain", "round", "room", (F.col("n") > F.col("room")).alias("cut"))
     open_ = added.join(F.broadcast(room), ["domain", "round"])
     whole = open_.where("not cut")
-    last = open_.where("cut").withColumn("at", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("gain"), "first", "place"))).where(F.col("at") <= F.col("room"))
+    last = _first_of(open_.where("cut").drop("cut"))
     keep = [*kind, "place", "gain"]
     chosen = whole.select(*keep).unionByName(last.select(*keep))
     # the smallest keys of a kind, first within shares of it, so that no task sorts a large kind
@@ -199,6 +202,24 @@ def select_varied(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return asked.select(*kind, "id", "place").join(chosen, [*kind, "place"]).select("domain", F.col("id").alias("chain_id"), "gain")
 
 
+def _first_of(rows: DataFrame) -> DataFrame:
+    """The first `room` rows of each domain by gain, then hash: counted in bins of gain and hash, so that only the bin in which the cut falls is sorted."""
+    rows = rows.withColumn("low", -F.round("gain", 6)).withColumn("turn", F.xxhash64("first", "place")).withColumn("bin", F.floor((F.col("turn") / F.lit(2.0**64) + 0.5) * HASH_BINS).cast("int"))
+    bins = rows.groupBy("domain", "room", "low", "bin").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("domain").orderBy("low", "bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("left", F.col("room") - F.coalesce(F.sum("n").over(order), F.lit(0))).where("left > 0").select("domain", "low", "bin", "left", (F.col("n") > F.col("left")).alias("part"))
+    placed = rows.join(bins, ["domain", "low", "bin"])
+    cut = placed.where("part").withColumn("at", F.row_number().over(Window.partitionBy("domain").orderBy("turn", "first", "place"))).where(F.col("at") <= F.col("left"))
+    return placed.where("not part").select(*rows.columns).unionByName(cut.select(*rows.columns))
+
+
+def covered(df: DataFrame, stats: DataFrame, **how) -> DataFrame:
+    """(chain_id, domain, crowd, near, gain, chosen): every row of df with the mass of its crowd and, if it is in the varied subset, the gain with which it came in."""
+    rows = staged(one_name(staged(features(df, **how), "features")), "named")
+    chosen = select_varied(rows, domain_sizes(stats)).select(F.col("chain_id").alias("id"), "gain")
+    return rows.join(chosen, "id", "left").select(F.col("id").alias("chain_id"), "domain", "crowd", "near", "gain", F.col("gain").isNotNull().alias("chosen"))
+
+
 def domain_sizes(stats: DataFrame) -> DataFrame:
     """(domain, size): the sum of recorded counts of each domain."""
     return stats.where("domain is not null").groupBy("domain").agg(F.coalesce(F.sum("selected_count"), F.lit(0)).cast("bigint").alias("size"))

@@ -199,7 +199,8 @@ def test_varied(spark):
     ids, u = unit_rows(rows)
     near = (u @ u.T >= 0.95).sum(1) - 1
     feats = varied.features(df, cell_rows=30)
-    assert {r.chain_id for r in varied.crowded(feats).collect()} == {i for i, n in zip(ids, near) if n >= 20}
+    assert {r.id for r in feats.where("near >= 20").collect()} == {i for i, n in zip(ids, near) if n >= 20}
+    assert {r.id: r.near for r in varied.features(df, cell_rows=12, ask=None).collect()} == dict(zip(ids, near.tolist()))
     sizes = spark.createDataFrame([("d", 20), ("", 10_000), ("none", 5)], "domain string, size bigint")
     picked = varied.select_varied(feats, sizes).collect()
     dom = {r[0]: r[1] for r in rows}
@@ -210,6 +211,91 @@ def test_varied(spark):
     assert varied.select_varied(varied.features(df.limit(0)), sizes).count() == 0
 
 
+def test_covered_rows(spark):
+    rows = crowd(5, spread=0.1, sizes=(50, 25, 6, 2))
+    stats = spark.createDataFrame([("d", 1, 12), ("d", 2, 8), ("", 3, None)], "domain string, cluster_id int, selected_count int")
+    told = varied.covered(vector_frame(spark, rows), stats, cell_rows=30).collect()
+    ids, u = unit_rows(rows)
+    near = dict(zip(ids, ((u @ u.T >= 0.95).sum(1) - 1).tolist()))
+    assert {r.chain_id: r.near for r in told} == near and sum(r.chosen for r in told) == 20 and all((r.gain is not None) == r.chosen for r in told)
+
+
+@pytest.mark.parametrize("bins", [1, 4, 4096])
+def test_a_last_round_is_cut_in_bins(spark, bins, monkeypatch):
+    monkeypatch.setattr(varied, "HASH_BINS", bins)
+    rows = spark.createDataFrame([("d", f"k{i % 40:03d}", i // 40, [0.5, 0.3, 0.2][i % 3], 70) for i in range(200)] + [("e", "x", 0, 0.1, 3)], "domain string, first string, place int, gain double, room long")
+    got = varied._first_of(rows).collect()
+    assert sum(r.domain == "d" for r in got) == 70 and sum(r.domain == "e" for r in got) == 1
+    assert [sum(r.gain == g for r in got) for g in (0.5, 0.3, 0.2)] == [67, 3, 0]
+
+
+def hot_copies(seed=7, n=90):
+    """A third of all rows hold one vector."""
+    rng = np.random.default_rng(seed)
+    rows = [(k, d, h, v) for k, d, h, v in crowd(seed, sizes=(40, 30), noise=80)]
+    v = rng.normal(size=64).astype(np.float32)
+    rows += [(f"h{i:03d}", "d", i % 3, v.tolist()) for i in range(n)]
+    return rows + [(f"hn{i}", "d", 1, (v + 0.05 * rng.normal(size=64)).astype(np.float32).tolist()) for i in range(4)]
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rows = hot_copies()
+    df = vector_frame(spark, rows)
+    ids, u = unit_rows(rows)
+    s = u @ u.T
+    apart = cells.set_apart(cells.vectors(df, "chain_id", "vector", "domain"), len(rows), 20, 6)
+    assert apart.rows.where("n = 90").count() == 1 and apart.members.count() == 90 and sorted(r.id for r in apart.firsts.collect()) == [f"h{i:03d}" for i in range(6)]
+    near = {r.id: r.near for r in varied.features(df, cell_rows=40, hot=20).collect()}
+    assert near == dict(zip(ids, ((s >= 0.95).sum(1) - 1).tolist()))
+    found = groups.similarity_groups(df, cell_rows=40, hot=20)
+    assert {(r.first_chain_id, r.chain_id) for r in groups.group_members(found).collect()} == true_components(ids, s, 0.78)
+    got = {}
+    for r in neighbours.nearest_neighbours(df, cell_rows=40, hot=20, least=0.8).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbour))
+    assert [x for _, x in sorted(got["h050"])] == ["h000", "h001", "h002", "h003", "h004"] and [x for _, x in sorted(got["h002"])] == ["h000", "h001", "h003", "h004", "h005"]
+    assert all(len(got[f"hn{i}"]) == 5 and all(x.startswith("h") for _, x in got[f"hn{i}"]) for i in range(4))
+
+
+def test_the_exact_way_finds_everything(spark):
+    rows = crowd(9)
+    df = vector_frame(spark, rows)
+    ids, u = unit_rows(rows)
+    found = {(r.id, r.neighbour) for r in neighbours.nearest_neighbours(df, cell_rows=12, ask=None).collect()}
+    assert found == {(ids[a], ids[b]) for a, b, _ in neighbours.exact_neighbours(u, np.arange(len(ids)), 5)}
+    members = groups.group_members(groups.similarity_groups(df, cell_rows=12, ask=None)).collect()
+    assert {(r.first_chain_id, r.chain_id) for r in members} == true_components(ids, u @ u.T, 0.78)
+
+
+def test_best_exact_in_strips():
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(300, 64)).astype(np.float32)
+    v[50:80] = v[3]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    s = np.round(v.astype(np.float64) @ v.T.astype(np.float64), 7)
+    s[np.arange(300), np.arange(300)] = -2
+    want = {(i, int(j)) for i, row in enumerate(np.argsort(-s, axis=1, kind="stable")[:, :5]) for j in row}
+    for wide in (40, 128, 8192):
+        a, b, _ = neighbours.best_exact(v, v, 5, np.arange(300), wide=wide)
+        assert set(zip(a.tolist(), b.tolist())) == want
+
+
+def test_fitting_stays_small():
+    """Neither a sample x components matrix nor all scores of a batch are held at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(60_000, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    tracemalloc.start()
+    index = cells.fit_cells(v, 15_000_000)
+    assert 5000 <= len(index.centroids) <= 9000
+    index.route(v[:3000], np.arange(3000), 0.17, 8)
+    groups.fit_mixture(v[:20_000], start=1024, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 350e6, peak
+
+
 def test_thresholds_follow_greedy():
     rng = np.random.default_rng(2)
     n = 40
@@ -249,7 +335,7 @@ def test_blocks_of_a_hot_cell():
     v = np.repeat(rng.normal(size=(1, 64)), 400, 0).astype(np.float32)
     v = np.concatenate([v, rng.normal(size=(200, 64)).astype(np.float32)])
     v /= np.linalg.norm(v, axis=1)[:, None]
-    index = cells.fit_cells(v, 6000, 500)
+    index = cells.fit_cells(v, 6000, 500, block_rows=1000)
     assert index.blocks.max() > 1
     rows, cell, block, own = index.route(v, np.arange(len(v)), 0.2, 4)
     assert own.sum() == len(v) and len(set(zip(rows, cell, block))) == len(rows)
