@@ -7,7 +7,8 @@ corpus: a word is misread if a far more frequent word of the corpus turns into i
 at a line end is a break unless the corpus holds the compound. Paragraphs are reassembled from body lines.
 
 Words meet the corpus lexicon in a shuffled join; the words of the bounded list of most frequent ones are only
-spared the journey, which changes no result.
+spared the journey, which changes no result. Each misread word is tried against all more frequent words that share its
+key. A head holds at most the paper's title, its journal and a number, which bounds the length of lines that can be one.
 
 Defined results: a paper without signs of a scanned page is returned unchanged; null texts stay null and give no
 damaged lines; empty texts are empty; repeated rows give the same lines and count once; very long lines are
@@ -117,11 +118,13 @@ class Page:
         title = _canon(lines[first].lstrip("# ")) if n else ""
         own = _canon(journal) if journal and journal != "Unknown" else ""
         seen: Counter = Counter()
+        longest = max(100, len(lines[first].strip()) + len(journal or "") + 45)
         for i, s in enumerate(lines):
-            size = len(s)
-            if size > 100 or self.blank[i] or size < 1 or s[0] in "|#":
+            bare = len(s.strip())
+            if bare > longest or self.blank[i] or s[0] in "|#":
                 continue
-            if size <= 24:
+            size = len(s)
+            if bare <= 24:  # "Page 1234 of 1234" and less
                 for kind, pattern in _PAGE.items():
                     if m := pattern.match(s):
                         digits = any(c.isdigit() for c in m.group(1))
@@ -320,7 +323,7 @@ def word_counts(papers: DataFrame) -> DataFrame:
                         inside[part] += n
                 else:
                     inside[w] += n
-            rows = [(w, n) for w, n in inside.items() if 3 <= len(w) <= 60 and sum(c.isdigit() for c in w) <= 2 and sum(c.isalpha() for c in w) >= 2]
+            rows = [(w, n) for w, n in inside.items() if len(w) >= 3 and sum(c.isdigit() for c in w) <= 2 and sum(c.isalpha() for c in w) >= 2]
             if rows:
                 ws, ns = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(ns, pa.int64())], ["word", "n"])
@@ -352,36 +355,39 @@ def one_misreading(counts: DataFrame) -> DataFrame:
     return made.groupBy("word").agg(F.max(F.struct("n_true", "true")).alias("m")).select("word", "m.true", "m.n_true")
 
 
-def misread_words(counts: DataFrame) -> DataFrame:
-    """(word, true): words of the corpus that a far more frequent word turns into by misreading.
+def misread_words(words: DataFrame, counts: DataFrame, made: DataFrame) -> DataFrame:
+    """(word, true): those of `words` (word, n) that a far more frequent word of the corpus turns into by misreading.
 
-    One misreading is found by making all of them; several in a word by a key that all readings of it share.
+    One misreading is found among `made`, all that can be made; several in a word by a key that all readings of it
+    share: every more frequent word of the key is tried, and the most frequent that fits counts.
     """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ws = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([misreading_key(w) for w in ws], pa.string()), b.column(0), b.column(1)], ["k", "word", "n"])
+    def keyed(df: DataFrame, word: str, n: str) -> DataFrame:
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([misreading_key(w) for w in b.column(0).to_pylist()], pa.string()), *b.columns], ["k", word, n])
 
-    keyed = counts.where("instr(word, '-') = 0").mapInArrow(keys, "k string, word string, n bigint")
-    # the true word has letters only; the few most frequent of a key are tried, most frequent first
-    true = keyed.where(r"n >= 3 and word rlike '^[^0-9]+$'").groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), False), 1, 8).alias("best"))
+        return df.select(F.col("word").alias(word), F.col("n").alias(n)).where(F.instr(word, "-") == 0).mapInArrow(keys, f"k string, `{word}` string, {n} bigint")
+
+    # the true word has letters only
+    true = keyed(counts.where(r"n >= 3 and word rlike '^[^0-9]+$'"), "true", "n_true")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for w, n, best in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), b.column("best").to_pylist()):
-                for t in best:
-                    if t["n"] >= LEAST_TIMES * n and is_misreading(w, t["word"]):
-                        out.append((w, t["word"]))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["word", "true"])
+            fits = [is_misreading(w, t) for w, t in zip(b.column("word").to_pylist(), b.column("true").to_pylist())]
+            yield b.filter(pa.array(fits, pa.bool_()))
 
-    several = keyed.join(true, "k").select("word", "n", "best").mapInArrow(tell, "word string, true string")
-    one = counts.join(one_misreading(counts), "word").where(F.col("n_true") >= LEAST_TIMES * F.col("n")).select("word", "true")
+    tried = keyed(words, "word", "n").join(true, "k").where(f"n_true >= {LEAST_TIMES} * n and word != `true`").select("word", "true", "n_true")
+    several = tried.mapInArrow(tell, "word string, true string, n_true bigint").groupBy("word").agg(F.max(F.struct("n_true", "true")).alias("m")).select("word", "m.true")
+    one = words.join(made, "word").where(F.col("n_true") >= LEAST_TIMES * F.col("n")).select("word", "true")
     return one.unionByName(several.join(one.select("word"), "word", "left_anti"))
 
 
+def _is_code(token: str) -> bool:
+    """Whether a token between blanks is a code or a link: it has parts of digits and letters that no number is misread as."""
+    return any(any(c.isdigit() for c in p) and any(c.isalpha() for c in p) and not _NUMBER_LIKE.fullmatch(p) for p in _WORDS.findall(token))
+
+
 class Evidence:
     """What the labelled lines of a paper need from the lexicon."""
 
@@ -406,6 +412,7 @@ class Evidence:
             end = len(body.rstrip())
             if got:
                 end = body.rstrip(" -¬‐­").rfind(got[0].split("-")[-1])
+            z, code = -1, False  # the end of the token between blanks, and whether it is a code or a link
             for m in _WORDS.finditer(body, start, max(start, end)):
                 w = m.group()
                 if w.isdigit():
@@ -413,22 +420,31 @@ class Evidence:
                 if w not in common and _ALL_LETTERS.fullmatch(w) and (_NUMBER_HERE.search(body[: m.start()]) or body.strip() == w):
                     self.numbers.append(i)
                 elif any(c.isdigit() for c in w) and misread_number(w, body[m.start() - 1 : m.start()]):
-                    a, z = body.rfind(" ", 0, m.start()) + 1, body.find(" ", m.end())
-                    if (z if z >= 0 else len(body)) - a <= 24:  # not inside a code or a link
+                    if m.start() >= z:
+                        a, z = body.rfind(" ", 0, m.start()) + 1, body.find(" ", m.end())
+                        z = z if z >= 0 else len(body)
+                        code = _is_code(body[a:z])
+                    if not code:
                         self.numbers.append(i)
                 elif w not in common and _questionable(w):
                     self.words.append((i, w))
 
 
 def fit_model(papers: DataFrame, sample: int = SAMPLE_PAPERS) -> LineModel:
-    """The line model, fitted on at most `sample` scanned-looking papers out of about 12 times as many papers taken by hash."""
+    """The line model, fitted on at most `sample` scanned-looking papers out of about 12 times as many papers taken by hash; only their symbols come to the driver."""
     looks = papers.where(F.col("text").rlike(r"\f|(?m)^\s*(?:- \w+ -|— \w+ —|\[\w+\]|p\. \w+|Page \w+ of \w+)\s*$|\w[¬‐­]\s*$"))
     share = min(1.0, 12 * sample / max(1, papers.count()))
     space = F.xxhash64("paper_id")
-    rows = looks.where(space < F.lit(int(-(2**63) + share * (2**64 - 2048)))).select(space.alias("h"), "paper_id", "journal", "text").collect()
-    rows = sorted(rows, key=lambda r: (r.h, r.paper_id))[:sample]
-    pages = [Page(r.text, r.journal) for r in rows]
-    return LineModel.fit([p.symbols() for p in pages if p.scanned])
+    taken = looks.where(space < F.lit(int(-(2**63) + share * (2**64 - 2048)))).select(space.alias("h"), "paper_id", "journal", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pages = [Page(t, j) for j, t in zip(b.column("journal").to_pylist(), b.column("text").to_pylist())]
+            at = pa.array([i for i, p in enumerate(pages) if p.scanned], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("h").take(at), b.column("paper_id").take(at), pa.array([bytes(p.symbols().astype(np.uint8)) for p in pages if p.scanned], pa.binary())], ["h", "paper_id", "s"])
+
+    rows = taken.mapInArrow(run, "h bigint, paper_id string, s binary").orderBy("h", "paper_id").limit(sample).collect()
+    return LineModel.fit([np.frombuffer(r.s, np.uint8).astype(np.int64) for r in rows])
 
 
 def _common(counts: DataFrame, misread: DataFrame) -> frozenset[str]:
@@ -445,7 +461,8 @@ def damaged_lines(df: DataFrame, key: str = "paper_id", text: str = "paper_md",
     """
     papers = _columns(df, key, text, journal)
     counts = staged(word_counts(papers), "words")
-    misread = staged(misread_words(counts), "misread")
+    made = staged(one_misreading(counts), "made")
+    misread = staged(misread_words(counts, counts, made), "misread")
     model = fit_model(papers)
     common = df.sparkSession.sparkContext.broadcast(_common(counts, misread))
 
@@ -490,22 +507,22 @@ def damaged_lines(df: DataFrame, key: str = "paper_id", text: str = "paper_md",
     hyphens = known.where(is_word).select("paper_id", "line_no", "other", "last", "b", "joined")
     cut = hyphens.select("paper_id", "line_no", F.lit("hyphen").alias("kind"), F.concat_ws(" ", "last", "b").alias("old"), F.col("joined").alias("new"))
     # misread letters inside a word that was cut: the joined word against the lexicon
-    joined = _joined_misread(hyphens.select("paper_id", "line_no", "other", "last", "b", "joined"), counts)
+    joined = _joined_misread(hyphens, counts, made)
     # a compound's right part, and the parts of compounds, are words of their own
     loose = known.where(~is_word).select("paper_id", F.explode(F.array(F.struct("line_no", F.col("last").alias("w")), F.struct(F.col("other").alias("line_no"), F.col("b").alias("w")))).alias("x")).select("paper_id", "x.line_no", "x.w")
     loose = loose.join(misread, F.col("w") == misread.word).select("paper_id", "line_no", F.lit("misread").alias("kind"), F.col("w").alias("old"), F.col("true").alias("new"))
     return plain.unionByName(words).unionByName(cut).unionByName(joined).unionByName(loose).distinct()
 
 
-def _joined_misread(hyphens: DataFrame, counts: DataFrame) -> DataFrame:
+def _joined_misread(hyphens: DataFrame, counts: DataFrame, made: DataFrame) -> DataFrame:
     """Misread rows of words that a line end cuts: the line of the part that differs from the true word."""
-    rare = hyphens.join(counts.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left").na.fill(0, ["n_joined"])
-    made = rare.join(one_misreading(counts).withColumnRenamed("word", "joined"), "joined").where(F.col("n_true") >= LEAST_TIMES * F.greatest("n_joined", F.lit(1)))
+    whole = hyphens.select(F.col("joined").alias("word")).distinct().join(counts, "word", "left").select("word", F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).alias("n"))
+    told = hyphens.join(misread_words(whole, counts, made).withColumnRenamed("word", "joined"), "joined")
     first = F.when(~F.startswith("true", "last"), F.struct(F.col("line_no"), F.col("last").alias("old")))
     second = F.when(~F.endswith("true", "b"), F.struct(F.col("other").alias("line_no"), F.col("b").alias("old")))
     # where both parts differ the misreading lies across the cut and belongs to the first line
     parts = F.array_compact(F.array(first, F.when(first.isNull(), second)))
-    return made.select("paper_id", F.explode(parts).alias("x"), "true").select("paper_id", "x.line_no", F.lit("misread").alias("kind"), "x.old", F.col("true").alias("new"))
+    return told.select("paper_id", F.explode(parts).alias("x"), "true").select("paper_id", "x.line_no", F.lit("misread").alias("kind"), "x.old", F.col("true").alias("new"))
 
 
 _SENTENCE_END = re.compile(r"[.!?。！？:：][\"'”’)\]]*$")

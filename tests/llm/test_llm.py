@@ -57,6 +57,29 @@ def test_frequent_misread_numbers_are_found(spark):
     assert scans.Evidence(page, np.full(2, scans.BODY), common | {"lO0"}).numbers == [0, 1]
 
 
+def test_page_numbers_far_from_the_margin_and_long_heads():
+    title, journal = "A study of " + "very long words " * 9 + "end", "Journal of " + "Applied " * 4 + "States"
+    text = title + "\n\n" + "\n".join("a line of text that goes on\n" * 6 + " " * 40 + str(k) + "\n" + title.upper() + " " + journal for k in (208, 209, 210))
+    page = scans.Page(text, journal)
+    lines = text.split("\n")
+    assert [i for i in range(page.n) if page.shape[i] == 2] == [i for i, s in enumerate(lines) if s.strip().isdigit()]
+    assert [i for i in range(page.n) if page.head[i] == 2] == [i for i, s in enumerate(lines) if s.startswith("A STUDY")]
+
+
+def test_codes_hold_no_misread_numbers():
+    page = scans.Page("see x.org/1d30348a9f8f41/O1/4f1e686f18ecc4 for it\nat (6B4,7l2,8O3,11O,5S1,99l,O12) and 6B4", "J")
+    assert scans.Evidence(page, np.full(2, scans.BODY), frozenset()).numbers == [1] * 8
+
+
+def test_words_with_several_misreadings_are_tried_against_all_of_a_key(spark):
+    # nine frequent words share the key of the tenth, which alone turns into the misread word
+    key = scans.misreading_key("plionon")
+    assert key == scans.misreading_key("phonon")
+    counts = spark.createDataFrame([("phonon", 90), ("pl1on0n", 2), ("form", 50)] + [(w, 900) for w in ("puonon", "phoaon", "phonan", "phanon")], "word string, n bigint")
+    got = {r.word: r["true"] for r in scans.misread_words(counts, counts, scans.one_misreading(counts)).collect()}
+    assert got["pl1on0n"] == "phonon" and "form" not in got
+
+
 def test_misreadings():
     for bad, good in (("pre5ent", "present"), ("plionon", "phonon"), ("svmmetry", "symmetry"), ("whi1e", "while"), ("lirnits", "limits"), ("bndge", "bridge"), ("coolmg", "cooling"), ("foUows", "follows"), ("biibbly", "bubbly"), ("bouncl", "bound"), ("efhciency", "efficiency"), ("carmot", "cannot"), ("samphng", "sampling")):
         assert scans.is_misreading(bad, good) and bad in scans.misreadings(good), (bad, good)
