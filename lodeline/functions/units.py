@@ -1,12 +1,15 @@
 """Quantities in free text: numbers, and unit strings segmented by dynamic programming over tries.
 
-A unit string is cut into prefix, root and exponent (times, over, next factor ...). Every way to cut it is scored
-(letters of another case cost, long names are worth more), and what stays ambiguous - "1,219" is 1219 or 1.219,
-"m" is milli or metre - is decided by the prior of the field: how usual is this value for a cutoff, a smearing?
+A unit string is cut into prefix, root and exponent (times, over, next factor ...). Cuts are scored (letters of another
+case cost, long names are worth more); at each place of the string, the best cut is kept for every product of factors
+that leads to it, so the work is in proportion to the string, however many cuts there are. What stays ambiguous -
+"1,219" is 1219 or 1.219, "m" is milli or metre - is decided by the prior of the field: how usual is this value for a
+cutoff, a smearing?
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from dataclasses import dataclass
@@ -30,6 +33,7 @@ PRIORS = {"cutoff_energy": (2.7, 0.45), "smearing": (-1.2, 0.8), "convergence_cr
 _SUPER = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")
 _EXPONENT = re.compile(r"\s?(?:\^\s?\{?\s?|\*\*)?([-−⁻+]?[0-9⁰¹²³⁴⁵⁶⁷⁸⁹])\}?")
 _LINK = re.compile(r"\s*(/|·|\*|⋅|\bper\b|\s)\s*", re.I)
+_ONE_OVER = re.compile(r"\s*1\s?/\s?")
 _TIMES_TEN = r"(?:\s?[×x*·⋅]\s?10\s?(?:\^\s?\{?\s?[-−+]?\d+\s?\}?|\*\*\s?[-−+]?\d+|[⁻⁺]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+))"
 _NUMBER = re.compile(
     r"(?<![\w.])(?:"
@@ -37,7 +41,7 @@ _NUMBER = re.compile(
     r"|(?:\d{1,3}(?:,\d{3})+(?!\d)(?:\.\d+)?|\d+[.,]\d+|\.\d+|\d+)(?:[eEdD][-−+]?\d+(?!\d)|" + _TIMES_TEN + r")?"
     r")"
 )
-_COUNTED = re.compile(r"^\s*(?:st|nd|rd|th)?\s*(?:heaviest|species|cycles?|steps?|iterations?|atoms\b|orders?\b|times\b|k-?points?|bands?)", re.I)
+_COUNTED = re.compile(r"\s*(?:st|nd|rd|th)?\s*(?:heaviest|species|cycles?|steps?|iterations?|atoms\b|orders?\b|times\b|k-?points?|bands?)", re.I)
 _ORDINAL = re.compile(r"(?:order|阶|over|last|version|step|no\.?|the|n\s*=)\s*$", re.I)
 
 
@@ -80,47 +84,52 @@ class Quantity:
     raw: str
 
 
-def _name_and_size(factors: tuple) -> tuple[str, float] | None:
-    """The unit of energy that the factors (prefix factor, root, exponent) make, or None."""
-    energy = [(p, r) for p, r, e in factors if ROOTS[r][1] == "energy" and e == 1]
-    mol = [e for p, r, e in factors if ROOTS[r][1] == "amount" and p == 1 and e == -1]
-    heat = [(p, r) for p, r, e in factors if ROOTS[r][1] == "temperature" and e == 1]
-    wave = [(p, r) for p, r, e in factors if ROOTS[r][1] == "length" and e == -1]
-    each = sum(ROOTS[r][1] == "count" and e == -1 for p, r, e in factors)
-    if len(energy) + len(mol) + len(heat) + len(wave) + each != len(factors) or len(mol) > 1:
-        return None
-    if len(energy) == 1 and not heat and not wave:
-        p, r = energy[0]
-        name, size = SHORT[p] + ROOTS[r][0], p * ROOTS[r][2]
-        return (name + "/mol", size / ROOTS["mol"][2]) if mol else (name, size)
-    if mol or energy:
-        return None
-    if len(heat) == 1 and not wave:
-        return SHORT[heat[0][0]] + "K", heat[0][0] * ROOTS["K"][2]
-    if len(wave) == 1 and not heat:
-        p, r = wave[0]
-        return SHORT[p] + ROOTS[r][0] + "-1", ROOTS[r][2] / p
-    return None
-
-
-def segment_unit(text: str, limit: int = 48) -> list[Unit]:
-    """Every unit of energy with which the text may begin, best first; all cuts are explored once per place."""
-    text = text[:limit]
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    begin = len(text) - len(text.lstrip())
-    states = {(begin, 1): [((), 0.0)]}
-    if m := re.match(r"\s*1\s?/\s?", text):
-        states[(m.end(), -1)] = [((), 0.0)]
-    done: list[Unit] = []
+@dataclass(frozen=True)
+class Product:
+    """What a chain of factors has made so far: at most one energy, heat or wave number, at most one per mole, counts left out."""
+
+    kind: str = ""
+    root: str = ""
+    factor: float = 1.0
+    molar: bool = False
+
+    def times(self, factor: float, root: str, exponent: int) -> Product | None:
+        """With one more factor, or None if that can't become a unit of energy."""
+        kind = ROOTS[root][1]
+        if kind == "count":
+            return self if exponent == -1 else None
+        if kind == "amount":
+            return Product(self.kind, self.root, self.factor, True) if exponent == -1 and factor == 1 and not self.molar else None
+        if self.kind or exponent != (-1 if kind == "length" else 1):
+            return None
+        return Product(kind, root, factor, self.molar)
+
+    def unit(self) -> tuple[str, float] | None:
+        """(name, size in eV) of a finished product."""
+        if not self.kind or self.molar and self.kind != "energy":
+            return None
+        base, _, size = ROOTS[self.root]
+        if self.kind == "length":
+            return f"{SHORT[self.factor]}{base}-1", size / self.factor
+        name, size = SHORT[self.factor] + base, size * self.factor
+        return (f"{name}/mol", size / ROOTS["mol"][2]) if self.molar else (name, size)
+
+
+def segment_unit(text: str, begin: int = 0, low: str | None = None) -> list[Unit]:
+    """Every unit of energy that begins at `begin`, blanks left out, best first; `low` is the text in small letters, character by character."""
+    low = lowered(text) if low is None else low
+    at = begin
+    while at < len(text) and text[at].isspace():
+        at += 1
+    states: dict[tuple[int, int], dict[Product, float]] = {(at, 1): {Product(): 0.0}}
+    if m := _ONE_OVER.match(text, begin):
+        states[(m.end(), -1)] = {Product(): 0.0}
+    best: dict[str, Unit] = {}
     agenda = sorted(states)
-    while agenda:
-        key = agenda.pop(0)
-        at, sign = key
-        for factors, score in states.pop(key):
-            heads = [("", at, 0), *_walk(_PREFIX_TRIE, text, low, at)]
-            for prefix, i, off in heads:
+    while agenda:  # places only grow
+        at, sign = heapq.heappop(agenda)
+        for product, score in states.pop((at, sign)).items():
+            for prefix, i, off in [("", at, 0), *_walk(_PREFIX_TRIE, text, low, at)]:
                 for root, j, off2 in _walk(_ROOT_TRIE, text, low, i):
                     if prefix and ROOTS[root][1] == "count" or off and len(prefix) == 1:
                         continue  # the case of a one-letter prefix tells milli from mega
@@ -131,23 +140,28 @@ def segment_unit(text: str, limit: int = 48) -> list[Unit]:
                     for end, exponent in ends:
                         if end < len(text) and text[end].isalpha() and text[end - 1].isalpha() and text[end].isascii() and text[end - 1].isascii():
                             continue  # in the middle of a word
-                        made = (*factors, (PREFIXES[prefix], root, sign * exponent))
+                        made = product.times(PREFIXES[prefix], root, sign * exponent)
+                        if made is None:
+                            continue
                         total = score + gain + (0.5 if exponent != 1 else 0)
-                        if got := _name_and_size(made):
-                            done.append(Unit(*got, total, end))
-                        if len(made) < 4 and (m := _LINK.match(text, end)):
+                        if (got := made.unit()) and (got[0] not in best or (total, end) > (best[got[0]].score, best[got[0]].end)):
+                            best[got[0]] = Unit(*got, total, end)
+                        if m := _LINK.match(text, end):
                             follow = (m.end(), -1 if m.group(1).lower() in ("/", "per") else 1)
                             if follow not in states:
-                                agenda.append(follow)
-                                agenda.sort()
-                            states.setdefault(follow, []).append((made, total))
-    best: dict[str, Unit] = {}
-    for u in done:
-        if u.name not in best or (u.score, u.end) > (best[u.name].score, best[u.name].end):
-            best[u.name] = u
+                                heapq.heappush(agenda, follow)
+                                states[follow] = {}
+                            if total > states[follow].get(made, -math.inf):
+                                states[follow][made] = total
     return sorted(best.values(), key=lambda u: (-u.score, u.name))
 
 
+def lowered(text: str) -> str:
+    """In small letters, with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def _readings(raw: str) -> list[float]:
     """The values that a written number may have."""
     s = raw.replace(" ", "").replace("−", "-")
@@ -194,17 +208,17 @@ def quantities(text: str | None, field: str, note: str | None = None) -> list[Qu
     if not text:
         return []
     whole = note_unit(note)
-    found = []
+    low, found = lowered(text), []
     for m in _NUMBER.finditer(text):
-        before, after = text[: m.start()], text[m.end() :]
-        if found and m.start() < found[-1][3] or _COUNTED.match(after) or _ORDINAL.search(before):
+        before = text[max(0, m.start() - 16) : m.start()]  # as long as the words that make an ordinal
+        if found and m.start() < found[-1][3] or _COUNTED.match(text, m.end()) or _ORDINAL.search(before):
             continue  # part of a unit such as 1/cm or mol-1, or a count
         if before.rstrip().endswith("^") or re.search(r"[A-Za-z_]$", before):
             continue
         values = _readings(m.group())
-        units = segment_unit(after)
+        units = segment_unit(text, m.end(), low)
         # a number with its unit ends where the unit ends
-        end = m.end() + (units[0].end if units else 0)
+        end = units[0].end if units else m.end()
         found.append((values, units, m.group(), end, m.start()))
     out = []
     for n, (values, units, raw, end, start) in enumerate(found):

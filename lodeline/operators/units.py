@@ -24,7 +24,9 @@ def in_common_units(df: DataFrame, keys: tuple[str, ...] = ("paper_id", "metadat
     """(keys, field, raw, value, unit, ev, lg100): every stated value of the fields, in eV."""
     cols = [F.col(f"`{k}`").cast("string").alias(f"k{i}") for i, k in enumerate(keys)]
     texts = F.array(*[F.struct(F.lit(name).alias("field"), F.col(path).alias("text")) for name, path in fields.items()])
-    rows = df.select(*cols, F.col(note).alias("note"), F.inline(texts)).where("text is not null").distinct()
+    rows = df.select(*cols, F.col(note).alias("note"), F.inline(texts)).where("text is not null")
+    # small strings, long parsing: the exchange of `distinct` must not shrink to one task
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -41,6 +41,13 @@ def test_segments_prefer_the_longest_reading():
     assert segment_unit(" species") == []
 
 
+def test_long_texts_and_many_cuts():
+    assert quantities("1 eV" + " per atom" * 300, C)[0].unit == "eV"
+    assert len(quantities("5 " * 2000, C)) == 2000
+    assert quantities("1 J" + " cm-1 K m mol-1" * 300, C)[0].unit is not None
+    assert quantities("x" * 5000 + " 3 kilo-" + "joules per mole" + " y" * 3000, C)[0].unit == "kJ/mol"
+
+
 def test_table(spark):
     setup = "struct<cutoff_energy:string,smearing:string,convergence_criteria:struct<energy:string,force:string>,note:string>"
     rows = [("p", "v1", ("50 Ry", None, ("1e-5 eV", None), None), 1), ("p", "v1", ("50 Ry", None, ("1e-5 eV", None), None), 1), ("q", None, None, 2), ("r", "v1", ("0 Ry", "", (None, None), "x"), 3)]
