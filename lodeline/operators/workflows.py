@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,67 +44,91 @@ def manifest(meta: DataFrame, path: str) -> DataFrame:
     )
 
 
-def _papers(extractions) -> list[dict]:
-    if isinstance(extractions, dict):
-        extractions = extractions.get("papers", list(extractions.values()))
-    return [p for p in extractions or [] if isinstance(p, dict)]
-
-
-def describe(workflow_id: str, domain: str, structure: dict, extractions, chains) -> dict:
-    """One workflow's description out of its stages, the extractions of its papers and its chains."""
-    papers = _papers(extractions)
-    stages = [n for s in structure.get("stages") or [] if (n := s.get("name") or s.get("stage"))]
-    named: Counter = Counter()
-    for p in papers:
-        layer = p.get("algorithm_layer")
-        if isinstance(layer, dict) and layer.get("method_family"):
-            named[layer["method_family"]] += 1
-        named.update(t for t in p.get("tools") or [] if isinstance(t, str))
-    top = sorted(named.items(), key=lambda x: -x[1])[:10]
-    methods = [m for m, _ in top]
-    if papers and "title" in papers[0]:
-        problem = f"如何通过 {' → '.join(stages[:2])} 解决相关问题" if stages else f"关于 {papers[0]['title'][:50]} 的研究方法"
-    else:
-        problem = f"如何完成 {' → '.join(stages)}" if stages else "未知研究问题"
-    layers = [p.get("implementation_layer") for p in papers]
-    words = {w for s in stages for w in _words(s)}
-    return {
-        "workflow_id": workflow_id, "domain": domain, "problem_description": problem, "main_stages": stages, "methods": methods,
-        "workflow_name": " → ".join(stages[:3]) if stages else " + ".join(methods[:3]) if methods else "未命名工作流",
-        "frequencies": [n / len(papers) for _, n in top] if papers else [],
-        "input_types": ["experimental_data"] if any(isinstance(x, dict) and x.get("input_qc") for x in layers) else [],
-        "output_types": ["measurement_data"] if any(isinstance(r, str) for p in papers for r in (p.get("quantitative_results") or []) if isinstance(p.get("quantitative_results"), list)) else [],
-        "keywords": sorted({*methods, *words})[:20], "num_papers": len(papers), "num_chains": len(chains if isinstance(chains, list) else (chains or {}).get("chains", [])),
-    }
+PAPERS = {"title": pa.string(), "family": pa.string(), "tools": pa.list_(pa.string()), "checked": pa.bool_(), "measured": pa.bool_()}
+EXTRACTED = "array<struct<title string, family string, tools array<string>, checked boolean, measured boolean>>"
 
 
-def _words(stage: str) -> list[str]:
-    import re
+def extracted_papers(text: str | None) -> list[dict] | None:
+    """The papers of an extraction file in one shape, whether it lists them or names them; None if it is no YAML."""
+    import yaml
 
-    return re.findall(r"[一-鿿]+|[a-zA-Z]+", stage)
+    try:
+        got = yaml.safe_load(text or "")
+    except yaml.YAMLError:
+        return None
+    if isinstance(got, dict):
+        got = got["papers"] if isinstance(got.get("papers"), list) else [*got.values()]
+    part = lambda p, name: p[name] if isinstance(p.get(name), dict) else {}
+    texts = lambda p, name: [x for x in p[name] if isinstance(x, str)] if isinstance(p.get(name), list) else []
+    return [
+        {"title": None if p.get("title") is None else str(p["title"]), "family": str(part(p, "algorithm_layer").get("method_family") or "") or None, "tools": texts(p, "tools"), "checked": bool(part(p, "implementation_layer").get("input_qc")), "measured": bool(texts(p, "quantitative_results"))}
+        for p in (got if isinstance(got, list) else [])
+        if isinstance(p, dict)
+    ]
 
 
-DESCRIPTION = "workflow_id string, domain string, workflow_name string, problem_description string, main_stages array<string>, methods array<string>, frequencies array<double>, input_types array<string>, output_types array<string>, keywords array<string>, num_papers int, num_chains int"
+def with_papers(files: DataFrame, text: str = "extractions") -> DataFrame:
+    """files with `papers` (EXTRACTED) and `parse_error` in place of the text."""
+    keep = [c for c in files.columns if c != text]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [extracted_papers(t) for t in b.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(got, pa.list_(pa.struct(list(PAPERS.items())))), pa.array([None if g is not None else "not readable" for g in got], pa.string())], [*keep, "papers", "parse_error"])
 
-def descriptions(files: DataFrame) -> DataFrame:
-    """Workflow descriptions from (workflow_id, domain, structure, extractions, chains): JSON or YAML as text; unreadable ones are left out."""
+    fields = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
+    return files.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, papers {EXTRACTED}, parse_error string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import yaml
 
-        names = [c.split()[0] for c in DESCRIPTION.split(", ")]
-        kinds = [pa.list_(pa.float64()) if "double" in c else pa.list_(pa.string()) if "array" in c else pa.int32() if c.endswith("int") else pa.string() for c in DESCRIPTION.split(", ")]
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                try:
-                    out.append(describe(r["workflow_id"], r["domain"], json.loads(r["structure"]), yaml.safe_load(r["extractions"] or ""), json.loads(r["chains"] or "{}")))
-                except (ValueError, AttributeError, TypeError, yaml.YAMLError):
-                    continue
-            yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], k) for n, k in zip(names, kinds)], names)
-
-    return files.select("workflow_id", "domain", "structure", "extractions", "chains").mapInArrow(run, DESCRIPTION)
+# The words of inferred descriptions.
+NO_PROBLEM, ARROW = "未知研究问题", " → "
+
+
+def mentions(papers: DataFrame, key: str = "workflow_id") -> DataFrame:
+    """(key, name): every method family and tool of the papers, as often as it is named."""
+    named = F.flatten(F.transform("papers", lambda p: F.concat(F.array_compact(F.array(p["family"])), F.coalesce(p["tools"], F.array().cast("array<string>")))))
+    return papers.select(key, F.explode(named).alias("name"))
+
+
+def top_mentions(papers: DataFrame, most: int = 10, key: str = "workflow_id") -> DataFrame:
+    """(key, methods, counts): the names mentioned most often, ties by name."""
+    counts = mentions(papers, key).groupBy(key, "name").agg(F.count("*").alias("n"))
+    first = counts.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "name"))).where(F.col("i") <= most)
+    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "name", "n"))).alias("m"))
+    return lists.select(key, F.transform("m", lambda x: x["name"]).alias("methods"), F.transform("m", lambda x: x["n"]).alias("counts"))
+
+
+def problem_description(stages: Column, title: Column) -> Column:
+    """The question that stages and the first paper's title suggest."""
+    two = F.concat(F.lit("如何通过 "), F.array_join(F.slice(stages, 1, 2), ARROW), F.lit(" 解决相关问题"))
+    return F.when(title.isNotNull(), F.when(F.size(stages) > 0, two).otherwise(F.concat(F.lit("关于 "), F.left(title, F.lit(50)), F.lit(" 的研究方法")))).when(F.size(stages) > 0, F.concat(F.lit("如何完成 "), F.array_join(stages, ARROW))).otherwise(F.lit(NO_PROBLEM))
+
+
+def workflow_keywords(methods: Column, stages: Column, most: int = 20) -> Column:
+    """Methods and the words of stage names, in order, at most `most`."""
+    words = F.flatten(F.transform(stages, lambda s: F.regexp_extract_all(s, F.lit("[一-鿿]+|[a-zA-Z]+"), F.lit(0))))
+    return F.slice(F.array_sort(F.array_distinct(F.concat(methods, words))), 1, most)
+
+
+def descriptions(files: DataFrame) -> DataFrame:
+    """Workflow descriptions from (workflow_id, domain, structure, extractions, chains): JSON or YAML as text; unreadable ones are left out.
+
+    The columns: ids, name and question, stages, methods with their share of papers, kinds of input and output, keywords, counts.
+    """
+    none = F.array().cast("array<string>")
+    texts = files.select("workflow_id", "domain", "structure", "extractions", "chains").where(F.try_parse_json("structure").isNotNull())
+    rows = with_papers(texts).where("parse_error is null")
+    named = F.transform(F.from_json("structure", "stages array<struct<name string, stage string>>")["stages"], lambda s: F.coalesce(F.nullif(s["name"], F.lit("")), F.nullif(s["stage"], F.lit(""))))
+    rows = rows.withColumn("main_stages", F.coalesce(F.array_compact(named), none))
+    rows = rows.join(top_mentions(rows), "workflow_id", "left").withColumn("methods", F.coalesce("methods", none))
+    count = F.size("papers")
+    held = F.coalesce(F.json_array_length("chains"), F.json_array_length(F.get_json_object("chains", "$.chains")), F.lit(0))
+    tag = lambda flag, name: F.when(F.exists("papers", lambda p: p[flag]), F.array(F.lit(name))).otherwise(none)
+    return rows.select(
+        "workflow_id", "domain", tx.workflow_name(F.col("main_stages"), F.col("methods")).alias("workflow_name"), problem_description(F.col("main_stages"), F.get("papers", F.lit(0))["title"]).alias("problem_description"), "main_stages", "methods",
+        F.coalesce(F.transform("counts", lambda n: n / count), F.array().cast("array<double>")).alias("frequencies"), tag("checked", "experimental_data").alias("input_types"), tag("measured", "measurement_data").alias("output_types"),
+        workflow_keywords(F.col("methods"), F.col("main_stages")).alias("keywords"), count.alias("num_papers"), held.alias("num_chains"),
+    )
 
 
 def signatures(described: DataFrame) -> DataFrame:

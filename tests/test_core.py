@@ -43,13 +43,25 @@ def test_parse_keeps_mixed_text_and_survives_damage(spark):
     assert xm.parse_chains(df.limit(0)).count() == 0
 
 
-def test_enrichment():
-    tools = {"1": {"tools": [{"tool_id": "t", "tool_name": "N", "tool_description": "D", "tool_category": "k"}], "links": [{"step_id": "2", "tool_id": "t"}, {"step_id": "1", "tool_id": "?"}]}, "9": {"tools": [], "links": []}}
-    out = xm.enriched(GOOD, tools)
-    assert out.startswith("<?xml") and out.count('<ref type="tool"') == 1 and 'category="k"' in out and out.count('type="citation"') == 1
-    assert xm.enriched("<bad", tools) is None
-    text = xm.conclusion_text(xm.ET.fromstring(out.split("\n", 1)[1]).find("conclusion_reasoning"))
-    assert "[Tools: N]" in text and "- **N**: D" in text and "- Step 2: See " in text
+def test_enrichment(spark):
+    tool = ("t", 'N & "M"', "D", "k")
+    df = spark.createDataFrame([("a", GOOD), ("b", "<bad"), ("c", None), ("d", "<r><conclusion_reasoning conclusion_id='1'><reasoning><step id='2' x='/>'/></reasoning></conclusion_reasoning></r>")], "paper_id string, reasoning_xml string")
+    found = spark.createDataFrame([("a", "1", [tool], [("2", "t"), ("1", "?")]), ("a", "9", [], []), ("d", "1", [tool], [("2", "t"), ("2", "t")])], "paper_id string, " + xm.TOOLS)
+    out = {r.paper_id: r for r in xm.enrich(df, found).collect()}
+    a = out["a"].enriched
+    assert a.startswith("<?xml") and a.count('<ref type="tool"') == 1 and 'category="k"' in a and a.count('type="citation"') == 1 and a.count("<tools>") == 1
+    assert xm.chains_of(a.split("\n", 1)[1])[0]["steps"][1]["text"].endswith('tailN & "M"') and not out["b"].valid and not out["c"].valid
+    assert out["d"].enriched.count("<ref ") == 2 and xm._root(out["d"].enriched.split("\n", 1)[1]) is not None
+    done = xm.enrich(df, found)
+    text = {(r.paper_id, r.conclusion_id): r.text for r in xm.refined_texts(done, "enriched").collect()}
+    assert '[Tools: N & "M"]' in text["a", "1"] and '- **N & "M"**: D' in text["a", "1"] and "- Step 2: See " in text["a", "1"] and text["a", "2"] == "### Reasoning Steps:\n\n---\n\n"
+    old = spark.createDataFrame([("p", "<r><conclusion_reasoning conclusion_id='7' conclusion_title='A'><conclusion title='B'>Says so</conclusion></conclusion_reasoning></r>")], "paper_id string, reasoning_xml string")
+    asked = spark.createDataFrame([("p", "7"), ("p", "8"), ("q", "1")], "paper_id string, conclusion_id string")
+    assert {(r.paper_id, r.conclusion_id): r.text for r in xm.conclusion_by_id(old, asked).collect()} == {("p", "7"): "## Conclusion: B\nSays so\n\n---\n\n", ("p", "8"): None, ("q", "1"): None}
+    blocks = {r.conclusion_id: r for r in xm.conclusion_blocks(df.where("paper_id = 'a'")).collect()}
+    assert blocks["1"].title == "T" and blocks["1"].reasoning_xml.startswith("<reasoning>")
+    whole = xm.chains_text(xm.parse_chains(df.withColumn("journal", F.lit("J"))), ["journal"]).first()
+    assert whole.n == 2 and whole.text.startswith("# T\nConclusion: C\n\n## Reasoning Steps:\n- First\n- See [1] tail\n")
 
 
 def test_linkage_invariants():
