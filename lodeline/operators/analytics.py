@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import number, percent
@@ -102,13 +106,41 @@ def signature_groups(steps: DataFrame, unit: str, order: list[str], tool: str) -
     return seq.groupBy("signature").agg(F.count("*").alias("n"), F.min(unit).alias("first_unit"))
 
 
+MOST_TOOLS = 100_000
+
+
 def text_matches(steps: DataFrame, tools: DataFrame, step_keys: list[str], text: str, name: str = "tool_name") -> DataFrame:
-    """(step keys, name): tools whose name occurs in a step's text, whatever the case. Tools are a short list, checked to be."""
-    names = [r[0] for r in tools.select(name).where(F.col(name).isNotNull() & (F.trim(name) != "")).distinct().limit(5001).collect()]
-    if len(names) > 5000:
-        raise ValueError("more than 5,000 tools")
-    hits = F.array_compact(F.array(*[F.when(F.contains(F.lower(F.col(text)), F.lit(n.lower())), F.lit(n)) for n in sorted(names)])) if names else F.array().cast("array<string>")
-    return steps.select(*step_keys, F.explode(hits).alias(name))
+    """(step keys, name): tools whose name occurs in a step's text, whatever the case, found in one pass over each text. Tools are a short list, checked to be."""
+    names = [r[0] for r in tools.select(name).where(F.col(name).isNotNull() & (F.trim(name) != "")).distinct().limit(MOST_TOOLS + 1).collect()]
+    if len(names) > MOST_TOOLS:
+        raise ValueError(f"more than {MOST_TOOLS} tools")
+    by_low: dict[str, list[str]] = {}
+    for n in sorted(names):
+        by_low.setdefault(n.lower(), []).append(n)
+    held = steps.sparkSession.sparkContext.broadcast(by_low)
+
+    @F.pandas_udf("array<string>")
+    def hits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = finder(held.value)
+        for texts in parts:
+            yield texts.map(lambda t: sorted(n for low in find((t or "").lower()) for n in held.value[low]))
+
+    return steps.select(*step_keys, F.explode(hits(F.col(text))).alias(name))
+
+
+def finder(names):
+    """A function from a text to the set of names in it: by an automaton where there is one, else one by one."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: {n for n in names if n in text}
+    machine = ahocorasick.Automaton()
+    for n in names:
+        machine.add_word(n, n)
+    if not len(machine):
+        return lambda text: set()
+    machine.make_automaton()
+    return lambda text: {n for _, n in machine.iter(text)}
 
 
 def linked_tools(steps: DataFrame, links: DataFrame, tools: DataFrame, keys: list[str], step: str = "step_id") -> DataFrame:
@@ -117,14 +149,87 @@ def linked_tools(steps: DataFrame, links: DataFrame, tools: DataFrame, keys: lis
     return steps.select(*keys, step).join(named, [*keys, step], "left").select(*keys, step, F.coalesce("tools", F.array().cast("array<string>")).alias("tools"))
 
 
-def stage_keyword_papers(stages: DataFrame, papers: DataFrame, stage: str, words: str, paper: str, text: str, most: int = 5) -> DataFrame:
-    """(stage, paper, hits, rank): for each stage the papers in which most of its keywords occur. Stages are few and checked to be."""
-    rows = stages.select(stage, words).limit(1001).collect()
+def stage_keyword_papers(stages: DataFrame, papers: DataFrame, stage: str, words: str, paper: str, text: str, most: int = 5, instead: int = 3) -> DataFrame:
+    """(stage, paper, hits, rank): for each stage the papers in which most of its keywords occur.
+
+    A stage without any hit takes turns: of the papers in order, `instead` from the place instead * its own number on,
+    beginning again at the end, with 0 hits. Stages are few and checked to be.
+    """
+    rows = stages.select(stage, words).orderBy(stage).limit(1001).collect()
     if len(rows) > 1000:
         raise ValueError("more than 1,000 stages")
     scores = F.array(*[F.struct(F.lit(r[stage]).alias("stage"), sum((F.contains(F.lower(F.col(text)), F.lit(w.lower())).cast("int") for w in r[words] or []), F.lit(0)).alias("hits")) for r in rows])
     hit = papers.select(F.col(paper).alias("paper"), F.explode(scores).alias("s")).select("s.stage", "paper", "s.hits").where("hits > 0")
-    return hit.withColumn("rank", F.row_number().over(Window.partitionBy("stage").orderBy(F.desc("hits"), "paper"))).where(F.col("rank") <= most)
+    best = hit.withColumn("rank", F.row_number().over(Window.partitionBy("stage").orderBy(F.desc("hits"), "paper"))).where(F.col("rank") <= most)
+    n = papers.select(paper).distinct().count()
+    turns = [(r[stage], place + 1, (instead * i + place) % n) for i, r in enumerate(rows) for place in range(min(instead, n))] if n else []
+    spark = papers.sparkSession
+    numbered = spark.createDataFrame([(i, x[0]) for i, x in enumerate(papers.select(paper).distinct().orderBy(paper).limit(instead * len(rows)).collect())], T.StructType([T.StructField("i", T.IntegerType()), T.StructField("paper", papers.schema[paper].dataType)]))
+    taken = spark.createDataFrame(turns, "stage string, rank int, i int").join(F.broadcast(numbered), "i").join(best.select("stage").distinct(), "stage", "left_anti")
+    return best.unionByName(taken.select("stage", "paper", F.lit(0).alias("hits"), "rank"))
+
+
+def merged_ids(rows: DataFrame, key: str, ids: str) -> DataFrame:
+    """(key, ids): the different ids of all rows of a key, in order."""
+    return rows.select(key, F.explode(ids).alias("x")).where("x is not null").groupBy(key).agg(F.array_sort(F.collect_set("x")).alias(ids))
+
+
+def grade_statistics(rows: DataFrame, grade: str = "grade", subtype: str = "subtype", main: str = "主线") -> DataFrame:
+    """(total, a_main, b_variant, c_edge)."""
+    g = F.col(grade)
+    return rows.agg(F.count("*").alias("total"), F.count_if(is_main_line(grade, subtype, main)).alias("a_main"), F.count_if(g == "B").alias("b_variant"), F.count_if(g == "C").alias("c_edge"))
+
+
+def is_main_line(grade: str = "grade", subtype: str = "subtype", main: str = "主线") -> Column:
+    return (F.col(grade) == "A") & (F.col(subtype) == main)
+
+
+def is_record(columns: list[str]) -> Column:
+    """Whether a row is a selected chain: it has a cluster, and a text or an id."""
+    held = [F.col(c).isNotNull() for c in ("chain_text", "chain_id") if c in columns]
+    return F.col("cluster_id").isNotNull() & (held[0] if len(held) == 1 else held[0] | held[1]) if held and "cluster_id" in columns else F.lit(False)
+
+
+def named_tools(tools: Column, generic: tuple[str, ...] = ("数值", "求解器", "积分器", "未报告", "未提及"), most: int = 20) -> Column:
+    """Of a list the tools with a proper name - a capital or a digit and no generic word - in order."""
+    proper = lambda t: t.rlike("[A-Z0-9]") & ~t.rlike("|".join(generic))
+    return F.slice(F.array_sort(F.array_distinct(F.filter(tools, proper))), 1, most)
+
+
+def top_keywords(rows: DataFrame, method: str, tools: str, each: int = 5, per_row: int = 3, most: int = 10) -> DataFrame:
+    """(place, keyword): the most frequent methods, then the most frequent of the first tools of each row, each once."""
+    parts = [rows.select(F.lit(0).alias("kind"), F.col(method).alias("k")), rows.select(F.lit(1).alias("kind"), F.explode(F.slice(tools, 1, per_row)).alias("k"))]
+    counts = parts[0].unionByName(parts[1]).where("k is not null and k != ''").groupBy("kind", "k").agg(F.count("*").alias("n"))
+    top = counts.withColumn("i", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "k"))).where(F.col("i") <= each)
+    once = top.groupBy("k").agg(F.min(F.struct("kind", "i")).alias("o"))
+    return once.withColumn("place", F.row_number().over(Window.orderBy("o"))).where(F.col("place") <= most).select("place", F.col("k").alias("keyword"))
+
+
+def extractable(clusters: DataFrame, support: str, criteria: list[str], least: int = 10) -> DataFrame:
+    """clusters with `extractable`: enough chains and every criterion fulfilled; an unknown one isn't."""
+    good = F.col(support) >= least
+    for c in criteria:
+        good = good & F.coalesce(F.col(c), F.lit(False))
+    return clusters.withColumn("extractable", F.coalesce(good, F.lit(False)))
+
+
+def core_chains(chains: DataFrame, group: list[str], paper: str, key: str, order: list, least_chains: int = 10, least_papers: int = 5) -> DataFrame:
+    """(group, paper, key): the best chain of each paper, in groups of enough chains and papers."""
+    big = chains.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct(paper).alias("p")).where((F.col("n") >= least_chains) & (F.col("p") >= least_papers)).select(*group)
+    best = chains.join(big, group, "left_semi").withColumn("i", F.row_number().over(Window.partitionBy(*group, paper).orderBy(*order, key)))
+    return best.where("i = 1").select(*group, paper, key)
+
+
+def steps_to_chains(steps: DataFrame, chains: DataFrame, step: str = "step_id") -> DataFrame:
+    """The chains that steps named paper::conclusion::step belong to; other names are left out."""
+    parts = F.split(step, "::")
+    wanted = steps.where(F.size(parts) >= 3).select(parts[0].alias("paper_id"), parts[1].alias("conclusion_id")).distinct()
+    return chains.join(wanted, ["paper_id", "conclusion_id"], "left_semi")
+
+
+def file_totals(files: DataFrame, size: str) -> DataFrame:
+    """(files, bytes)."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
 
 
 def ablation_report(rows: DataFrame, key: str, most: int = 100) -> str:

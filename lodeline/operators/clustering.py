@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import md_path, xml_path
 from ..plans.tables import staged
 from . import vectors as vx
 
@@ -187,20 +188,33 @@ def select_top_clusters(rows: DataFrame, texts: DataFrame, share: float = 0.1, k
     top = top_share(good.groupBy(*keys).agg(F.count("*").alias("size")), share, ties=keys)
     mine = good.join(F.broadcast(top.select(*keys)), list(keys), "left_semi")
     near = nearest_to_centroid(mine.select(*keys, key, "vector"), k, keys, key)
-    return near.join(texts.select(key, "paper_id", "chain_text"), key, "left").select(*keys, key, "distance", "rank", F.coalesce("paper_id", F.lit("")).alias("paper_id"), F.coalesce("chain_text", F.lit("")).alias("chain_text"))
+    # texts of the chosen alone, one for each key
+    told = texts.select(key, "paper_id", "chain_text").join(near.select(key), key, "left_semi").groupBy(key).agg(F.max("paper_id").alias("paper_id"), F.max("chain_text").alias("chain_text"))
+    return near.join(told, key, "left").select(*keys, key, "distance", "rank", F.coalesce("paper_id", F.lit("")).alias("paper_id"), F.coalesce("chain_text", F.lit("")).alias("chain_text"))
 
 
-def cluster_metadata(rows: DataFrame, least: float = 0.6, keys: tuple[str, str] = ("domain", "cluster_id"), key: str = "chain_id") -> DataFrame:
-    """One row per cluster: ids, counts, centroid, mean and least similarity of pairs (1 for a single row)."""
+def cluster_metadata(rows: DataFrame, least: float = 0.6, keys: tuple[str, str] = ("domain", "cluster_id"), key: str = "chain_id", prefix: str = "paper_ocr") -> DataFrame:
+    """One row per cluster: ids, counts, papers and their paths in order, centroid, mean and least similarity of pairs (1 for a single row)."""
     good = rows.where(F.col(keys[1]) >= 0)
-    counts = good.groupBy(*keys).agg(F.count("*").alias("num_chains"), F.count_distinct("paper_id").alias("num_papers"))
+    papers = F.array_sort(F.collect_set("paper_id"))
+    counts = good.groupBy(*keys).agg(F.count("*").alias("num_chains"), papers.alias("paper_ids")).withColumn("num_papers", F.size("paper_ids"))
     pairs = vx.pair_statistics(good.select(*keys, key, "vector"), keys, key).select(*keys, "mean", "min")
+    paths = lambda f: F.transform("paper_ids", lambda p: f(prefix, p))
     return counts.join(vx.centroids(good.select(*keys, "vector"), keys).drop("n"), list(keys)).join(pairs, list(keys)).select(
-        F.concat_ws("_", F.col(keys[0]), F.col(keys[1]).cast("string")).alias("global_cluster_id"), *keys, "num_chains", "num_papers", "centroid",
+        F.concat_ws("_", F.col(keys[0]), F.col(keys[1]).cast("string")).alias("global_cluster_id"), *keys, "num_chains", "num_papers", paths(xml_path).alias("chain_xml_paths"), "paper_ids", paths(md_path).alias("paper_md_paths"), "centroid",
         F.coalesce("mean", F.lit(1.0)).alias("avg_intra_similarity"), F.coalesce("min", F.lit(1.0)).alias("min_intra_similarity"), F.lit(least).alias("min_pair_sim_threshold"),
     )
 
 
+def cosine_quality(rows: DataFrame, least: float = 0.85, keys: tuple[str, ...] = ("domain", "cluster_id")) -> DataFrame:
+    """One row: medians and means over clusters of the mean and least similarity of pairs, and how many similar pairs are split. Exact, without sampling; null rates where there are no pairs."""
+    per = vx.pair_statistics(rows.select(*keys, "chain_id", "vector"), keys).where("n_pairs > 0")
+    block = per.agg(F.count("*").alias("clusters_with_pairs"), F.percentile("mean", 0.5).alias("intra_sim_p50"), F.percentile("min", 0.5).alias("min_sim_p50"), F.avg("mean").alias("intra_sim_mean"), F.avg("min").alias("min_sim_mean"))
+    rate = F.when(F.col("pairs") > 0, F.col("split") / F.col("pairs"))
+    split = vx.similar_pairs_split(rows, least, keys).select(F.col("pairs").alias("high_sim_pairs"), F.col("split").alias("high_sim_split"), rate.alias("high_sim_split_rate"), (1 - rate).alias("high_sim_same_rate"))
+    return block.join(split)
+
+
 def filtered_clusters(meta: DataFrame, domain: str | None = None, ids: list[int] | None = None, min_chains: int | None = None, max_chains: int | None = None, min_similarity: float | None = None) -> DataFrame:
     """Clusters within inclusive bounds, each optional, in the order of their ids."""
     tests: list[Column] = []

@@ -15,6 +15,7 @@ from . import vectors as vx
 CHAIN_WEIGHTS = {"vector": 0.65, "lexical": 0.25, "rule": 0.10}
 WORKFLOW_WEIGHTS = {"semantic": 0.4, "keyword": 0.2, "io_type": 0.2, "method": 0.1, "quality": 0.1}
 FLAT = 1e-9
+LEXICAL_FIELDS, RULE_FIELDS = ["conclusion_title", "chain_text", "journal"], ["conclusion_title", "journal"]
 
 
 def min_max(col: Column) -> Column:
@@ -35,10 +36,11 @@ def query_terms(spark: SparkSession, query: str, n: int, lower: bool) -> list[st
 
 
 def lexical_route(rows: DataFrame, query: str, k: int, fields: list[str], n_terms: int = 8, lower: bool = True, key: str = "chain_id") -> DataFrame:
-    """(key, score): the k rows in which most query terms occur; none for a query without terms."""
+    """(key, score): the k rows in which most query terms occur; none for a query without terms. A key counts once, by its best row."""
     terms = query_terms(rows.sparkSession, query, n_terms, lower)
     score = contains_score(terms, fields)
-    return rows.select(key, score.cast("double").alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+    hits = rows.select(key, score.cast("double").alias("score")).where(F.col("score") > 0).where(F.col(key).isNotNull())
+    return hits.groupBy(key).agg(F.max("score").alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def fused(routes: dict[str, DataFrame], weights: dict[str, float], k: int, key: str = "chain_id") -> DataFrame:
@@ -57,9 +59,8 @@ def chain_search(rows: DataFrame, query: str, embedding: list[float], ann_k: int
     """Three routes over one table of chains, fused. `domain` is an opt-in filter before recall."""
     rows = rows.where(F.col("domain") == domain) if domain else rows
     ann = vx.top_k(rows, embedding, ann_k).select(F.col("id").alias("chain_id"), (1 - F.col("distance")).alias("score"))
-    fields = ["conclusion_title", "chain_text"]
-    lexical = lexical_route(rows, query, lexical_k, fields)
-    rule = lexical_route(rows, query, rule_k, fields[:1], n_terms=6, lower=False)
+    lexical = lexical_route(rows, query, lexical_k, LEXICAL_FIELDS)
+    rule = lexical_route(rows, query, rule_k, RULE_FIELDS, n_terms=6, lower=False)
     return fused({"vector": ann, "lexical": lexical, "rule": rule}, weights or CHAIN_WEIGHTS, k)
 
 
@@ -88,11 +89,11 @@ class ChainSearch:
         if not request.query.strip() or request.top_k <= 0:
             raise ValueError("a query and a positive top_k are needed")
         rows = self.rows.where(F.col("domain") == request.domain) if request.domain else self.rows
-        spark, fields = rows.sparkSession, ["conclusion_title", "chain_text"]
+        spark = rows.sparkSession
         plans = {
             "vector": lambda: vx.top_k(rows, list(self.embed([request.query])[0]), 1000).select(F.col("id").alias("chain_id"), (1 - F.col("distance")).alias("score")),
-            "lexical": lambda: lexical_route(rows, request.query, 800, fields),
-            "rule": lambda: lexical_route(rows, request.query, 200, fields[:1], n_terms=6, lower=False),
+            "lexical": lambda: lexical_route(rows, request.query, 800, LEXICAL_FIELDS),
+            "rule": lambda: lexical_route(rows, request.query, 200, RULE_FIELDS, n_terms=6, lower=False),
         }
         good, failed = {}, []
         for name, plan in plans.items():

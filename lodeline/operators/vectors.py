@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 64
@@ -235,63 +235,41 @@ def nearest_centroid(rows: DataFrame, centres: DataFrame, key: str = "chain_id",
     return found.select(F.col("id").alias(key), F.col("w").alias(within or "within"), "cluster_id", "similarity")
 
 
-def similar_pairs_split(df: DataFrame, least: float = 0.85, keys: tuple[str, ...] = ("domain", "cluster_id"), pivots: int = 64, dim: int = DIM) -> DataFrame:
-    """(pairs, split): all pairs with cosine >= least, and how many of them lie in different groups. Exact.
+def similar_pairs_split(df: DataFrame, least: float = 0.85, keys: tuple[str, ...] = ("domain", "cluster_id"), block_rows: int = 4 * BLOCK_ROWS, dim: int = DIM) -> DataFrame:
+    """(pairs, split): all pairs with cosine >= least, and how many of them lie in different groups. Exact, so quadratic.
 
-    Rows live at the nearest of some pivots and visit every pivot whose cell may hold a partner by the triangle
-    inequality of angles; pairs are counted inside tasks.
+    Every pair of blocks meets in one task, which holds no more than the two; pairs are counted and never emitted.
     """
-    rows = df.select(F.col("chain_id").alias("id"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("g"), "vector")
-    seed = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
-    if not seed:
-        return rows.agg(F.lit(0).cast("bigint").alias("pairs"), F.lit(0).cast("bigint").alias("split"))
-    p = unit(np.array([r.vector for r in seed], np.float64))
-    held = rows.sparkSession.sparkContext.broadcast(p)
-    reach = float(np.arccos(least))
-
-    def radius(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worst = np.zeros(len(held.value))
-        for b in batches:
-            _, v = to_matrix(b.column(0), dim)
-            a = np.arccos(np.clip(unit(v) @ held.value.T, -1, 1))
-            own = a.argmin(1)
-            np.maximum.at(worst, own, a[np.arange(len(a)), own])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(worst)), pa.int32()), pa.array(worst)], ["c", "r"])
-
-    radii = np.zeros(len(p))
-    for r in rows.select("vector").mapInArrow(radius, "c int, r double").groupBy("c").agg(F.max("r").alias("r")).collect():
-        radii[r.c] = r.r
-    size = rows.sparkSession.sparkContext.broadcast(radii)
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            index, v = to_matrix(b.column("vector"), dim)
-            if not len(index):
-                continue
-            a = np.arccos(np.clip(unit(v) @ held.value.T, -1, 1))
-            own = a.argmin(1)
-            go = a <= size.value[None, :] + reach + 1e-9
-            go &= np.arange(len(p))[None, :] <= own[:, None]  # a pair meets at the smaller of its two cells
-            go[np.arange(len(own)), own] = True
-            r, c = np.nonzero(go)
-            t = pa.array(index[r])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(own[r] == c), *[b.column(x).take(t) for x in ("id", "g", "vector")]], ["c", "own", "id", "g", "vector"])
-
-    met = rows.mapInArrow(visit, f"c int, own boolean, id string, g string, vector {df.schema['vector'].dataType.simpleString()}")
+    rows = df.select(F.lit(0).alias("all"), F.col("chain_id").alias("id"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("g"), "vector")
 
     def count(table: pa.Table) -> pa.Table:
         index, v = to_matrix(table.column("vector"), dim)
-        v, own, g = unit(v), np.array(table.column("own").to_pylist())[index], np.array(table.column("g").to_pylist(), object)[index]
-        _, code = np.unique(g.astype(str), return_inverse=True)
-        here = np.flatnonzero(own)
+        v, block = unit(v), np.array(table.column("b").to_pylist())[index]
+        _, code = np.unique(np.array(table.column("g").to_pylist(), object)[index].astype(str), return_inverse=True)
+        low, high = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
         pairs = split = 0
-        for i in range(0, len(v), 512):
-            s = v[i : i + 512] @ v[here].T >= least
-            a, b = np.nonzero(s)
-            a, b = a + i, here[b]
-            keep = ~own[a] | (a < b)
+        for k in range(0, len(a), 512):
+            x, y = np.nonzero(v[a[k : k + 512]] @ v[b].T >= least)
+            x, y = a[x + k], b[y]
+            keep = x < y if low == high else np.ones(len(x), bool)
             pairs += int(keep.sum())
-            split += int((code[a[keep]] != code[b[keep]]).sum())
+            split += int((code[x[keep]] != code[y[keep]]).sum())
         return pa.table({"pairs": pa.array([pairs], pa.int64()), "split": pa.array([split], pa.int64())})
 
-    return met.groupBy("c").applyInArrow(count, "pairs bigint, split bigint").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("split"), F.lit(0)).alias("split"))
+    met = _blocked(rows, ("all",), block_rows).groupBy("i", "j").applyInArrow(count, "pairs bigint, split bigint")
+    return met.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("split"), F.lit(0)).alias("split"))
+
+
+def align(vector: Column, dim: int) -> Column:
+    """A vector column cut or filled with zeros to `dim` values; null counts as empty."""
+    kind = F.array().cast("array<float>")
+    return F.slice(F.concat(F.coalesce(vector, kind), F.array_repeat(F.lit(0).cast("float"), dim)), 1, dim)
+
+
+def width(df: DataFrame, vector: str = "vector") -> int:
+    """The one number of values that all vectors have; none or several are an error."""
+    sizes = [r.n for r in df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).distinct().limit(2).collect()]
+    if len(sizes) != 1 or sizes[0] <= 0:
+        raise ValueError("vectors of one length are needed")
+    return sizes[0]

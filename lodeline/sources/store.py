@@ -1,8 +1,9 @@
 """Sources and sinks: schemas, readers of the document formats, and a keyed table of versions in plain parquet.
 
-Parquet knows no update, delete or merge, and overwriting what is being read loses data. A KeyedTable therefore
-writes every change as a new version directory and moves a pointer last; a writer that dies leaves the old version
-in force.
+Parquet knows no update, delete or merge, and overwriting what is being read loses data. A KeyedTable therefore keeps
+its rows in buckets of keys: a change writes new directories for the touched buckets alone, and a manifest that names
+the directories in force comes last. A writer that dies leaves the old manifest in force; of two writers of one turn the
+second fails.
 """
 
 from __future__ import annotations
@@ -51,52 +52,94 @@ def primary_key(columns: Sequence[str]) -> str:
 
 
 class KeyedTable:
-    """A table of versions under `path`, with append, upsert, update, delete and lookup by key."""
+    """A table of versions under `path`, with append, upsert, update, delete and lookup by key. `kind` is a known table or a DDL string."""
 
-    def __init__(self, spark: SparkSession, path: str, kind: str, key: str | None = None):
-        self.spark, self.path, self.kind = spark, path.rstrip("/"), schema(kind)
+    def __init__(self, spark: SparkSession, path: str, kind: str, key: str | None = None, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.kind = schema(kind) if kind in SCHEMAS else T.StructType.fromDDL(kind)
         self.key = key or primary_key(self.kind.fieldNames())
 
-    def _pointers(self):
-        """(file system, Path class, pointer directory, names of the pointers in order)."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        at = path(f"{self.path}/_current")
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs, path, at, sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-
-    def version(self) -> str | None:
-        """The directory in force, which the last pointer names."""
-        names = self._pointers()[3]
-        return names[-1].split("~", 1)[1] if names else None
+    def _place(self, name: str = ""):
+        """(file system, path) of the manifests, or of one."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifests/{name}".rstrip("/"))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def manifest(self) -> tuple[int, dict[str, list[str]]]:
+        """(turn, directories of each bucket): what is in force."""
+        fs, at = self._place()
+        turns = sorted(n for s in (fs.listStatus(at) if fs.exists(at) else []) if (n := s.getPath().getName()).isdigit())
+        if not turns:
+            return 0, {}
+        stream = fs.open(self._place(turns[-1])[1])
+        try:
+            return int(turns[-1]), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, turn: int, held: dict[str, list[str]]) -> None:
+        fs, final = self._place(f"{turn:012d}")
+        _, draft = self._place(f"draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(held, sort_keys=True).encode()))
+        out.close()
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise RuntimeError(f"another writer took turn {turn} of {self.path}")
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, keys: DataFrame) -> list[str]:
+        return [str(r.b) for r in keys.select(self._bucket().alias("b")).distinct().collect()]
+
+    def _read(self, held: dict[str, list[str]], only: Sequence[str] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{v}/__b={b}" for b, vs in held.items() if only is None or b in set(only) for v in vs]
+        return self.spark.read.schema(self.kind).parquet(*paths) if paths else self.spark.createDataFrame([], self.kind)
 
     def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(self.kind).parquet(f"{self.path}/{v}") if v else self.spark.createDataFrame([], self.kind)
+        return self._read(self.manifest()[1])
 
-    def _put(self, df: DataFrame) -> None:
+    def _written(self, df: DataFrame) -> tuple[str, list[str]]:
+        """(directory, buckets in it) of rows that were written."""
         v = f"v-{uuid.uuid4().hex}"
-        df.select(*self.kind.fieldNames()).write.parquet(f"{self.path}/{v}")
-        fs, path, at, names = self._pointers()
-        turn = int(names[-1].split("~")[0]) + 1 if names else 1
-        fs.create(path(f"{at.toString()}/{turn:012d}~{v}")).close()
+        df.select(*self.kind.fieldNames()).withColumn("__b", self._bucket()).repartition("__b").write.partitionBy("__b").parquet(f"{self.path}/{v}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{v}")
+        names = [s.getPath().getName() for s in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]
+        return v, [n.split("=", 1)[1] for n in names if n.startswith("__b=")]
+
+    def _rewrite(self, touched: Sequence[str], change) -> None:
+        """The touched buckets replaced by change(their rows), all others left as they lie."""
+        turn, held = self.manifest()
+        v, full = self._written(change(self._read(held, touched)))
+        kept = {b: vs for b, vs in held.items() if b not in set(touched)}
+        for b in full:
+            kept[b] = kept.get(b, []) + [v]
+        self._commit(turn + 1, kept)
 
     def append(self, df: DataFrame) -> None:
-        self._put(self.read().unionByName(df.select(*self.kind.fieldNames())))
+        """Rows beside those that are there; nothing is rewritten."""
+        self._rewrite([], lambda _: df)
 
     def upsert(self, df: DataFrame) -> None:
         """Rows of `df` replace those of the same key; of several the last in `df`'s own order is undefined, so keys must be unique."""
-        self._put(upserted(self.read(), df.select(*self.kind.fieldNames()), self.key))
+        rows = df.select(*self.kind.fieldNames())
+        self._rewrite(self._touched(rows), lambda old: upserted(old, rows, self.key))
 
     def update(self, changes: DataFrame) -> None:
         """Non-null values of `changes` (key and some columns) replace those of the same key; unknown keys are ignored."""
-        self._put(updated(self.read(), changes, self.key))
+        self._rewrite(self._touched(changes), lambda old: updated(old, changes, self.key))
 
     def delete(self, keys: DataFrame) -> None:
-        self._put(self.read().join(keys.select(self.key).distinct(), self.key, "left_anti"))
+        self._rewrite(self._touched(keys), lambda old: old.join(keys.select(self.key).distinct(), self.key, "left_anti"))
 
     def replace(self, df: DataFrame, where: str) -> None:
         """What fulfils `where` is replaced by df, in one step."""
-        self._put(self.read().where(f"not coalesce({where}, false)").unionByName(df.select(*self.kind.fieldNames())))
+        touched = self._touched(self.read().where(where))
+        self._rewrite(touched, lambda old: old.where(f"not coalesce({where}, false)").unionByName(df.select(*self.kind.fieldNames())))
+
+    def compact(self) -> None:
+        """Every bucket in one directory."""
+        self._rewrite(list(self.manifest()[1]), lambda old: old)
 
     def count(self, where: str | None = None) -> int:
         rows = self.read()
@@ -204,5 +247,21 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str, values: Sequ
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows in hash order, the same for every run and partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows in the order of a digest of key and seed, the same for every run, partitioning and engine."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+def journal_ids(papers: DataFrame, journals: DataFrame) -> DataFrame:
+    """(paper_id, journal): each paper of the wanted journals once."""
+    return papers.select("paper_id", "journal").where("paper_id is not null").join(F.broadcast(journals.select("journal").distinct()), "journal", "left_semi").distinct()
+
+
+def cluster_chains(chains: DataFrame, domain: str, cluster: int) -> DataFrame:
+    """All columns but the vector of one cluster's chains."""
+    return chains.where((F.col("domain") == domain) & (F.col("cluster_id") == cluster)).drop("vector")
+
+
+def numbered_names(rows: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+    """rows with `unique_name`: further rows of one name get _1, _2 and so on, in the given order."""
+    turn = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+    return rows.withColumn("unique_name", F.when(turn == 0, F.col(name)).otherwise(F.concat_ws("_", F.col(name), turn.cast("string"))))

@@ -93,7 +93,7 @@ def test_pairs_against_brute_force(spark):
         assert got[77].n_pairs == 0 and got[77].mean is None
     c = {r.cluster_id: r.centroid for r in vx.centroids(df).collect()}
     assert np.allclose(c[2], np.mean([r[4] for r in rows[:90] if r[2] == 2], 0), atol=1e-6)
-    pair = vx.similar_pairs_split(df, 0.5, pivots=4).first()
+    pair = vx.similar_pairs_split(df, 0.5, block_rows=20).first()
     u, lab = vx.unit(np.array([r[4] for r in rows[:90]] + [[1.0] * 64])), np.array([r[2] for r in rows[:90]] + [77])
     i, j = np.triu_indices(91, 1)
     hit = (u @ u.T)[i, j] >= 0.5
@@ -158,7 +158,7 @@ def test_fusion_and_routes(spark):
     assert got["x"].vector == 1 and got["y"].vector == 0 and got["y"].lexical == 1 and got["y"].route_hits == "lexical,vector"
     flat = spark.createDataFrame([("x", 2.0)], "chain_id string, score double")
     assert rt.fused({"vector": flat}, {"vector": 1.0}, 5).first().vector == 1.0
-    rows = frame(spark, points(20, 2)).withColumn("conclusion_title", F.lit("Spin wave")).withColumn("chain_text", F.lit(None).cast("string"))
+    rows = frame(spark, points(20, 2)).withColumn("conclusion_title", F.lit("Spin wave")).withColumn("chain_text", F.lit(None).cast("string")).withColumn("journal", F.lit("J"))
 
     def broken(_):
         raise OSError("no service")
@@ -218,6 +218,15 @@ def test_table_versions(spark, tmp_path):
     t.replace(new(row(4, 1)), "domain = 'd'")
     assert t.count() == 1 and t.count("size > 1") == 0
     assert [r.found for r in t.get([4, 8]).collect()] == [True, False]
+    _, before = t.manifest()
+    t.upsert(new(row(77, 1)))
+    _, after = t.manifest()
+    assert sum(before.get(b) != d for b, d in after.items()) == 1  # one key touches one bucket
+    t.compact()
+    t.delete(spark.createDataFrame([(77,)], "cluster_id int"))
+    turn, held = t.manifest()
+    with pytest.raises(RuntimeError):
+        t._commit(turn, held)
     with pytest.raises(ValueError):
         st.schema("nothing")
     with pytest.raises(ValueError):
