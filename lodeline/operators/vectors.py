@@ -38,10 +38,14 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(n == 0, 1, n)[:, None]
 
 
+def valid(df: DataFrame, dim: int = DIM) -> DataFrame:
+    """Rows of a key with a vector that counts."""
+    return df.where((F.size("vector") == dim) & F.exists("vector", lambda x: x != 0) & F.col("chain_id").isNotNull())
+
+
 def distinct_chains(df: DataFrame, dim: int = DIM) -> DataFrame:
     """(chain_id, domain, cluster_id, paper_id, vector): one row per chain with a valid vector; the larger label wins."""
-    ok = df.where((F.size("vector") == dim) & F.exists("vector", lambda x: x != 0) & F.col("chain_id").isNotNull())
-    return ok.groupBy("chain_id").agg(F.max("domain").alias("domain"), F.max("cluster_id").alias("cluster_id"), F.max("paper_id").alias("paper_id"), F.first("vector").alias("vector"))
+    return valid(df, dim).groupBy("chain_id").agg(F.max("domain").alias("domain"), F.max("cluster_id").alias("cluster_id"), F.max("paper_id").alias("paper_id"), F.first("vector").alias("vector"))
 
 
 def centroids(df: DataFrame, keys: tuple[str, ...] = ("domain", "cluster_id"), normalise: bool = False, dim: int = DIM) -> DataFrame:

@@ -33,7 +33,7 @@ CENTRES = GROUPED + """, e AS (SELECT domain, cluster_id, unnest(v) AS x, unnest
  m AS (SELECT domain, cluster_id, i, avg(x) AS x FROM e GROUP BY ALL),
  k AS (SELECT domain, cluster_id, list(x ORDER BY i) AS centre FROM m GROUP BY ALL)"""
 PAIRS = GROUPED + """, p AS (SELECT a.domain, a.cluster_id, list_cosine_similarity(a.v, b.v) AS s FROM g a JOIN g b ON a.domain = b.domain AND a.cluster_id = b.cluster_id AND a.chain_id < b.chain_id)"""
-TEXTS = """t AS (SELECT chain_id, max(conclusion_title) AS conclusion_title, max(chain_text) AS chain_text, max(paper_id) AS paper_id, max(domain) AS domain FROM chain_embedding GROUP BY chain_id)"""
+TEXTS = """t AS (SELECT chain_id, max(conclusion_title) AS conclusion_title, max(chain_text) AS chain_text, max(paper_id) AS paper_id, max(domain) AS domain, max(journal) AS journal FROM chain_embedding GROUP BY chain_id)"""
 
 
 def query(sql: str | None = None):
@@ -57,7 +57,7 @@ def grouped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chain_embedding").groupBy("chain_id").agg(*[F.max(c).alias(c) for c in ("conclusion_title", "chain_text", "paper_id", "domain")])
+    return table(spark, d, "chain_embedding").groupBy("chain_id").agg(*[F.max(c).alias(c) for c in ("conclusion_title", "chain_text", "paper_id", "domain", "journal")])
 
 
 # --- quantities -----------------------------------------------------------------------------------------------------
@@ -146,7 +146,7 @@ def nearest_k_per_cluster(spark, d):
  n AS (SELECT *, row_number() OVER (PARTITION BY domain, cluster_id ORDER BY distance, chain_id)::INTEGER AS rank FROM r)
 SELECT n.domain, n.cluster_id, n.chain_id, distance, rank, coalesce(t.paper_id, '') AS paper_id, coalesce(chain_text, '') AS chain_text FROM n LEFT JOIN t USING (chain_id) WHERE rank <= 10""")
 def select_top_clusters(spark, d):
-    return cu.select_top_clusters(grouped(spark, d), texts(spark, d))
+    return cu.select_top_clusters(grouped(spark, d), table(spark, d, "chain_embedding"))
 
 
 @query(f"""WITH {GROUPED}, s AS (SELECT domain, cluster_id, count(*) AS size FROM g GROUP BY ALL)
@@ -178,7 +178,8 @@ def _rounded(df):
 
 
 def _first_vector(spark, d) -> list[float]:
-    got = chains(spark, d).orderBy("chain_id").select("vector").first()
+    # of all rows: only the first comes together, and repeated rows of a chain have one vector
+    got = vx.valid(table(spark, d, "chain_embedding")).select("chain_id", "vector").orderBy("chain_id").select("vector").first()
     return list(got.vector) if got else [0.0] * vx.DIM
 
 
@@ -221,9 +222,12 @@ def davies_bouldin(spark, d):
     return cu.davies_bouldin(grouped(spark, d)).withColumn("value", F.round("value", 5))
 
 
-@query()
+@query(f"""WITH {GROUPED}, k AS (SELECT *, domain || '_' || cluster_id AS g FROM g), d AS (SELECT a.chain_id, a.g AS own, b.g AS other, sum(list_distance(a.v, b.v)) AS t, count(*) AS n FROM k a JOIN k b ON true GROUP BY ALL),
+ m AS (SELECT chain_id, max(n) FILTER (own = other) AS size, max(t) FILTER (own = other) AS t, min(t / n) FILTER (own != other) AS b FROM d GROUP BY chain_id),
+ r AS (SELECT CASE WHEN size > 1 THEN (b - t / (size - 1)) / greatest(b, t / (size - 1)) ELSE 0 END AS s FROM m)
+SELECT count(*)::INTEGER AS rows, round(avg(s), 6) AS value FROM r""")
 def silhouette(spark, d):
-    """Euclidean silhouette of recorded clusters over a bounded hash sample."""
+    """Euclidean silhouette of recorded clusters over a bounded hash sample; at the smaller scales over all rows."""
     rows = grouped(spark, d).withColumn("g", F.concat_ws("_", *KEYS)).select("chain_id", "vector", "g")
     return cu.silhouette(rows, "g").withColumn("value", F.round("value", 6))
 
@@ -236,16 +240,15 @@ def constrained_clustering(spark, d):
 
 @query()
 def two_stage_clustering(spark, d):
-    """Small clusters by k-means, then linkage of their centres, over the chains of one domain."""
-    rows = chains(spark, d).where("domain = 'mathematics'").select("chain_id", "vector")
-    return cu.two_stage(rows, 400, 0.7, micro=200)
+    """Small clusters by k-means, then linkage of their centres, over all chains."""
+    return cu.two_stage(chains(spark, d).select("chain_id", "vector"), 400, 0.7)
 
 
 @query()
 def evolved_clustering(spark, d):
     """The threshold raised while too many clusters are too large."""
-    rows = staged(chains(spark, d).where("domain = 'mathematics'").select("chain_id", "vector"), "evolve")
-    labels, least = cu.evolved(lambda t: staged(cu.two_stage(rows, 60, t, micro=100), "labels"), "label", 0.7, 60)
+    rows = staged(chains(spark, d).select("chain_id", "vector"), "evolve")
+    labels, least = cu.evolved(lambda t: staged(cu.two_stage(rows, 60, t), "labels"), "label", 0.7, 60)
     return labels.withColumn("threshold", F.lit(least))
 
 
@@ -271,17 +274,17 @@ def budget_sample(spark, d):
     return an.budget_sample(grouped(spark, d).select(*KEYS, "chain_id"), 5, list(KEYS), "chain_id")
 
 
-@query("SELECT chain_id, left(chain_text, 200) AS head, len(vector) AS dim, left(array_to_string(list_transform(list_concat(vector, [0.0::FLOAT, 0, 0, 0, 0, 0, 0, 0])[1:66], lambda x: (x * 100)::INTEGER), ','), 60) AS shape FROM chain_embedding WHERE len(vector) = 64 AND cluster_id = 9")
+@query("SELECT chain_id, coalesce(len(vector), 0)::INTEGER AS dim, md5(array_to_string(list_transform(list_concat(coalesce(vector, []::FLOAT[]), list_transform(range(72), lambda x: 0::FLOAT))[1:72], lambda x: (x * 1000::FLOAT)::INTEGER), ',')) AS aligned FROM chain_embedding")
 def vector_align(spark, d):
-    rows = table(spark, d, "chain_embedding").where("size(vector) = 64 and cluster_id = 9")
-    shape = F.left(F.array_join(F.transform(F.slice(F.concat("vector", F.array_repeat(F.lit(0).cast("float"), 8)), 1, 66), lambda x: F.rint(x * F.lit(100).cast("float")).cast("int").cast("string")), ","), F.lit(60))
-    return rows.select("chain_id", tx.truncated(F.col("chain_text"), 200).alias("head"), F.size("vector").alias("dim"), shape.alias("shape"))
+    """Every vector, missing and short ones too, filled to 72 values."""
+    v = F.transform(vx.align(F.col("vector"), 72), lambda x: F.rint(x * F.lit(1000).cast("float")).cast("int").cast("string"))
+    return table(spark, d, "chain_embedding").select("chain_id", F.coalesce(F.when(F.col("vector").isNotNull(), F.size("vector")), F.lit(0)).alias("dim"), F.md5(F.array_join(v, ",")).alias("aligned"))
 
 
 # --- retrieval ------------------------------------------------------------------------------------------------------
 
 QUERY = "Revisiting the transport measurement of layered cuprate crystal"
-FIELDS = ["conclusion_title", "chain_text"]
+FIELDS, RULE_FIELDS = rt.LEXICAL_FIELDS, rt.RULE_FIELDS
 
 
 def _contains(terms: list[str], fields: list[str]) -> str:
@@ -289,17 +292,17 @@ def _contains(terms: list[str], fields: list[str]) -> str:
 
 
 LEXICAL = _contains(["revisiting", "the", "transport", "measurement", "of", "layered", "cuprate", "crystal"], FIELDS)
-RULE = _contains(["Revisiting", "the", "transport", "measurement", "of", "layered"], FIELDS[:1])
+RULE = _contains(["Revisiting", "the", "transport", "measurement", "of", "layered"], RULE_FIELDS)
 
 
 @query(f"WITH {TEXTS} SELECT chain_id, ({LEXICAL})::DOUBLE AS score FROM t WHERE ({LEXICAL}) > 0 ORDER BY score DESC, chain_id LIMIT 80")
 def lexical_recall(spark, d):
-    return rt.lexical_route(texts(spark, d), QUERY, 80, FIELDS)
+    return rt.lexical_route(table(spark, d, "chain_embedding"), QUERY, 80, FIELDS)
 
 
 @query(f"WITH {TEXTS} SELECT chain_id, ({RULE})::DOUBLE AS score FROM t WHERE ({RULE}) > 0 ORDER BY score DESC, chain_id LIMIT 20")
 def rule_recall(spark, d):
-    return rt.lexical_route(texts(spark, d), QUERY, 20, FIELDS[:1], 6, False)
+    return rt.lexical_route(table(spark, d, "chain_embedding"), QUERY, 20, RULE_FIELDS, 6, False)
 
 
 def _scaled(c: str) -> str:
@@ -555,16 +558,21 @@ def xml_parse_chains(spark, d):
     return rows.select("chain_id", "paper_id", "journal", "conclusion_id", "num_steps", "has_citations", "has_figures", F.md5("chain_text").alias("text_md5"))
 
 
-@query("""SELECT chain_id, max(chain_text) AS chain_text, max(num_steps) AS num_steps, bool_or(has_citations) AS has_citations, bool_or(has_figures) AS has_figures FROM chain_embedding
-WHERE paper_id IN (SELECT paper_id FROM papers WHERE trim(reasoning_xml) LIKE '<reasoning_chains>%</reasoning_chains>' AND (length(reasoning_xml) - length(replace(reasoning_xml, '<step', ''))) / 5 = (length(reasoning_xml) - length(replace(reasoning_xml, '</step>', ''))) / 7) GROUP BY chain_id""")
+# Papers whose document is whole and holds a step, as far as counts of marks can tell.
+WHOLE = """(SELECT paper_id FROM papers WHERE trim(reasoning_xml) LIKE '<reasoning_chains>%</reasoning_chains>' AND contains(reasoning_xml, '<step')
+ AND (length(reasoning_xml) - length(replace(reasoning_xml, '<step', ''))) / 5 = (length(reasoning_xml) - length(replace(reasoning_xml, '</step>', ''))) / 7)"""
+
+
+@query(f"""SELECT chain_id, max(chain_text) AS chain_text, max(num_steps) AS num_steps, bool_or(has_citations) AS has_citations, bool_or(has_figures) AS has_figures FROM chain_embedding WHERE paper_id IN {WHOLE} GROUP BY chain_id""")
 def chain_text_assembly(spark, d):
-    """Texts, counts and flags assembled from the XML, which the stored chains must equal."""
+    """Texts, counts and flags assembled from the XML, which the stored chains must equal, none more and none less."""
     papers = table(spark, d, "papers").select("paper_id", "journal", "reasoning_xml").where("reasoning_xml is not null")
-    rows = xm.chain_rows(xm.parse_chains(papers)).groupBy("chain_id").agg(F.max("chain_text").alias("chain_text"), F.max("num_steps").alias("num_steps"), F.bool_or("has_citations").alias("has_citations"), F.bool_or("has_figures").alias("has_figures"))
-    return rows.join(table(spark, d, "chain_embedding").select("chain_id").distinct(), "chain_id", "left_semi")
+    return xm.chain_rows(xm.parse_chains(papers)).groupBy("chain_id").agg(F.max("chain_text").alias("chain_text"), F.max("num_steps").alias("num_steps"), F.bool_or("has_citations").alias("has_citations"), F.bool_or("has_figures").alias("has_figures"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT count(DISTINCT paper_id) AS papers FROM papers), c AS (SELECT DISTINCT paper_id, chain_id, num_steps FROM chain_embedding WHERE paper_id IN {WHOLE}),
+ s AS (SELECT count(DISTINCT paper_id) AS with_chains, count(*) AS chains, sum(num_steps)::BIGINT AS steps FROM c)
+SELECT papers, with_chains, papers - with_chains AS skipped, chains, steps, steps::DOUBLE / chains AS avg_steps FROM p, s""")
 def load_stats(spark, d):
     papers = table(spark, d, "papers").select("paper_id", "journal", "reasoning_xml").distinct()
     return xm.load_statistics(xm.parse_chains(papers), papers)
@@ -614,9 +622,9 @@ def refined_texts(spark, d):
     return xm.refined_texts(_enriched(spark, d), "enriched").select("paper_id", "conclusion_id", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(f"SELECT DISTINCT chain_id, num_steps FROM chain_embedding WHERE paper_id IN {WHOLE} AND chain_id NOT IN (SELECT chain_id FROM chain_embedding WHERE domain = 'mathematics')")
 def embedded_increment(spark, d):
-    """Chains that the table doesn't hold yet, embedded offline."""
+    """Chains that the table doesn't hold for a domain yet, embedded offline to unit length."""
     papers = table(spark, d, "papers").select("paper_id", "journal", "reasoning_xml").distinct()
     rows = pv.vectorised_increment(xm.chain_rows(xm.parse_chains(papers)), table(spark, d, "chain_embedding"), pv.HashEmbedder(), "mathematics")
-    return rows.select("chain_id", "num_steps", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+    return rows.where(F.abs(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x) - 1) < 1e-3).select("chain_id", "num_steps")
