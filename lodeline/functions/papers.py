@@ -53,7 +53,7 @@ def bibliography_line(key: Column, authors: Column, title: Column, journal: Colu
 def dot_source(answer: Column) -> Column:
     """The graph in a fenced block, else the whole answer."""
     inside = F.regexp_extract(answer, r"(?s)```(?:dot)?\s*\n(.*?)```", 1)
-    return F.trim(F.when(inside != "", inside).otherwise(answer))
+    return bare(F.when(inside != "", inside).otherwise(answer))
 
 
 # The wording of samples.
@@ -64,11 +64,12 @@ SAMPLE = "sample_id string, domain string, cluster_id string, research_question_
 
 
 def bare(col: Column) -> Column:
-    return F.trim(F.coalesce(col, F.lit("")))
+    """Without white space at its ends; null is empty."""
+    return F.regexp_replace(F.coalesce(col, F.lit("")), r"^\s+|\s+$", "")
 
 
 def without_prefix(col: Column, prefix: str = FULL_PREFIX) -> Column:
-    return F.when(F.startswith(bare(col), F.lit(prefix)), F.trim(F.substr(bare(col), F.lit(len(prefix) + 1)))).otherwise(bare(col))
+    return F.when(F.startswith(bare(col), F.lit(prefix)), bare(F.substr(bare(col), F.lit(len(prefix) + 1)))).otherwise(bare(col))
 
 
 def stated_problem(xml: Column) -> Column:
@@ -81,7 +82,7 @@ def stated_conclusion(xml: Column, conclusion: Column) -> Column:
     """The conclusion of an id that a document states, if it is long enough."""
     quoted = F.regexp_replace(conclusion, r"([\\.^$|()\[\]{}*+?-])", r"\\$1")
     pattern = F.concat(F.lit(r"(?s)<conclusion_reasoning\b[^>]*\bconclusion_id=\""), quoted, F.lit(r"\"[^>]*>.*?<conclusion\b[^>]*\bid=\""), quoted, F.lit(r"\"[^>]*>(.*?)</conclusion>"))
-    found = tx.without_tags(F.regexp_extract(xml, pattern, F.lit(1)))
+    found = tx.without_tags(F.call_function("regexp_extract", xml, pattern, F.lit(1)))
     return F.when((F.trim(conclusion) != "") & (F.length(found) >= CONCLUSION_CHARS), found)
 
 

