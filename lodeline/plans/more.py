@@ -20,13 +20,13 @@ from ..sources import artifacts as ar
 from ..sources import store as st
 from . import catalog as ca
 from .catalog import CENTRES, CHAINS, GROUPED, KEYS, PAIRS, TEXTS, WORKFLOWS, query
-from .tables import shared_dir, staged, table
+from .tables import stage_dir, staged, table
 
 BEFORE = set(ca.QUERIES)
 
 
 def folder(spark, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks ----------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -37,9 +38,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_KNOWN: set[str] = set()
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """The folder of this application's stages, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+    if path not in _KNOWN:
+        _KNOWN.add(path)
+        atexit.register(drop_stages, spark)
+    return path
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df as parquet into the shared folder and read it back: columnar, compressed, prunable."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Deletes what this application staged; call it between jobs of a long session, when their results are written."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session is over, and with it the way to the folder
+        return
