@@ -140,7 +140,16 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_repaired, p2_found, p2_pieces, p3_found, p3_selected, p3_crowds, p5_found, p5_groups, p6_found, p6_neighbours, p7_found, p7_leaks, p7_clean, p8_found, p8_shares, p8_mix, p9_found, p9_classes, p9_forms)}
+# The chains with a valid vector, once each.
+CHAINS = """c AS (SELECT chain_id, any_value(vector)::DOUBLE[] AS v FROM chain_embedding WHERE len(vector) = 64 AND list_max(list_transform(vector, lambda x: abs(x))) > 0 AND chain_id IS NOT NULL GROUP BY chain_id)"""
 SQL: dict[str, str] = {
+    "p3_found": f"WITH {CHAINS} SELECT a.chain_id FROM c a JOIN c b ON a.chain_id != b.chain_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95 GROUP BY a.chain_id HAVING count(*) >= 20",
+    "p5_found": f"""WITH RECURSIVE {CHAINS}, l AS (SELECT a.chain_id AS a, b.chain_id AS b FROM c a JOIN c b ON a.chain_id != b.chain_id WHERE list_cosine_similarity(a.v, b.v) >= 0.78),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT min(b) AS first_chain_id, a AS chain_id FROM r GROUP BY a HAVING min(b) < a""",
+    "p6_found": f"""WITH {CHAINS}, s AS (SELECT a.chain_id AS a, b.chain_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM c a JOIN c b ON a.chain_id != b.chain_id WHERE list_cosine_similarity(a.v, b.v) >= 0.8),
+ n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s)
+SELECT DISTINCT least(a, b) AS chain_id_a, greatest(a, b) AS chain_id_b FROM n WHERE n <= 5""",
     "p2_found": r"""
 SELECT DISTINCT field, item_id,
        CASE WHEN list_max(list_transform(regexp_split_to_array(t, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}。！？；，]'), lambda x: length(x))) > lim THEN 'forced' ELSE 'natural' END AS cut
