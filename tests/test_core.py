@@ -151,6 +151,50 @@ def test_density_in_blocks_equals_the_whole(spark):
     assert len(got) == 90 and [r.label for r in sorted(got, key=lambda r: r.chain_id)] == want.tolist()
 
 
+def noisy(n: int, seed: int) -> np.ndarray:
+    """Unit vectors, two thirds of them in twelve clusters."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, 64))
+    some = rng.random(n) < 2 / 3
+    return vx.unit(np.where(some[:, None], rng.normal(size=(12, 64))[rng.integers(0, 12, n)] + 0.4 * v, v)).astype(np.float32).astype(np.float64)
+
+
+def test_density_of_noise_in_any_blocks(spark):
+    v = noisy(600, 5)
+    want = cu.density_labels(vx.unit(v), 5, 5)
+    schema = "domain string, chain_id string, vector array<float>"
+    # equal edges are many here; a group of one row, one of three copies and one without a valid vector come along
+    rows = [("d", f"c{i:04d}", x) for i, x in enumerate(v.tolist())] + [("one", "o", v[0].tolist())] + [("copies", f"k{i}", v[1].tolist()) for i in range(3)] + [("none", "n", [float("nan")] * 64)]
+    for part_rows in (30, 1000):
+        got = {r.chain_id: r.label for r in cu.density_clusters(spark.createDataFrame(rows, schema), ("domain",), part_rows=part_rows).collect()}
+        assert [got[f"c{i:04d}"] for i in range(600)] == want.tolist()
+        assert [got[x] for x in ("o", "k0", "k1", "k2")] == [-1] * 4 and len(got) == 604
+
+
+def test_equal_edges_merge_at_once():
+    # row 10 is as near to the one cluster as to the other
+    sides = [(0.1 + i / 100, s + i, s + i + 1) for s in (0, 5) for i in range(4)]
+    trees = [sorted(sides) + x for x in ([(0.5, 10, 0), (0.5, 10, 5)], [(0.5, 10, 9), (0.5, 10, 2)], [(0.5, 4, 5), (0.5, 10, 0)])]
+    assert {tuple(cu.tree_labels(11, t, 5).tolist()) for t in trees} == {(0,) * 5 + (1,) * 5 + (-1,)}
+
+
+def test_nearest_rows_and_bridges_by_brute_force():
+    v = np.concatenate([noisy(700, 6), noisy(700, 6)[:20]])  # with copies
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    at, to = np.arange(0, 300), np.arange(300, 720)
+    r, c, got = cu.nearest_pairs(v, at, to, 5, strip=64, wide=128, full=500)
+    assert np.allclose(got[r < 300].reshape(300, 5), np.sort(d[:300, 300:], 1)[:, :5]) and np.allclose(got[r >= 300].reshape(420, 5), np.sort(d[300:, :300], 1)[:, :5])
+    r, c, got = cu.nearest_pairs(v, np.arange(720), None, 5, strip=64, wide=128, full=500)
+    assert np.allclose(got.reshape(720, 5), np.sort(d, 1)[:, :5]) and np.allclose(got, d[r, c])
+    core, component = np.sort(d, 1)[:, 4], np.arange(720) // 3
+    a, b, w = cu.bridges(v, core, component, at, to, strip=64, wide=128)
+    m = np.maximum(np.maximum(core[:300, None], core[None, 300:]), d[:300, 300:])
+    between = m.reshape(100, 3, 140, 3).min((1, 3))
+    want = cu.shortest(240, *(x.ravel() for x in np.meshgrid(np.arange(100), np.arange(100, 240), indexing="ij")), between.ravel())
+    assert len(w) == 239 and np.allclose(np.sort(w), [x[0] for x in want], atol=1e-6)
+
+
 def test_fusion_and_routes(spark):
     a = spark.createDataFrame([("x", 0.9), ("y", -0.2)], "chain_id string, score double")
     b = spark.createDataFrame([("y", 3.0), ("z", 1.0)], "chain_id string, score double")
