@@ -11,6 +11,7 @@ from lodeline.operators import providers as pv
 from lodeline.operators import retrieval as rt
 from lodeline.operators import vectors as vx
 from lodeline.operators import xml as xm
+from lodeline.plans import catalog
 from lodeline.sources import store as st
 from lodeline.streaming import incremental as inc
 
@@ -151,6 +152,34 @@ def test_density_in_blocks_equals_the_whole(spark):
     assert len(got) == 90 and [r.label for r in sorted(got, key=lambda r: r.chain_id)] == want.tolist()
 
 
+def test_small_clusters_are_made_once_for_all_thresholds(spark, tmp_path, monkeypatch):
+    # three clusters of 100 copies each stay too large at every threshold
+    v = np.random.default_rng(4).normal(size=(3, 64)).tolist()
+    frame(spark, [(f"c{i:03d}", "d", 0, "p", v[i % 3]) for i in range(300)]).write.parquet(f"{tmp_path}/chain_embedding.parquet")
+    made = []
+    for name in ("_kmeans_model", "many_means"):
+        monkeypatch.setattr(cu, name, lambda *a, f=getattr(cu, name, None), **k: made.append(1) or f(*a, **k), raising=False)
+    got = catalog.QUERIES["evolved_clustering"](spark, str(tmp_path)).collect()
+    assert len(made) == 1 and len(got) == 300 and {r.threshold for r in got} == {1.0}
+    assert {tuple(sorted({r.label for r in got if int(r.chain_id[1:]) % 3 == i})) for i in range(3)} == {(0,), (1,), (2,)}
+
+
+def test_means_by_dense_products(spark):
+    rows = points(300, 3)
+    df = frame(spark, rows).select("chain_id", "vector").repartition(3)
+    centres = cu.many_means(df, 3)
+    at, n, mean = cu._means(df, centres)
+    v, own = np.array([p[4] for p in rows]), np.arange(300) % 3
+    want = np.array([v[own == i].mean(0) for i in range(3)])
+    assert n.tolist() == [100] * 3 and np.allclose(np.sort(mean, 0), np.sort(want, 0), atol=1e-5) and np.allclose(mean, centres, atol=1e-4)
+    # pairs that are too heavy from the start leave the others as they were
+    x = np.array([p[4] for p in rows[:40]])
+    weight = np.where(np.arange(40) % 5 == 0, 9, 1)
+    lab = cu.constrained_linkage(x, 10, 0.5, weight)
+    assert max(weight[lab == i].sum() for i in set(lab.tolist())) <= 10
+    assert cu.small_clusters(df.where("false")) is None
+
+
 def noisy(n: int, seed: int) -> np.ndarray:
     """Unit vectors, two thirds of them in twelve clusters."""
     rng = np.random.default_rng(seed)
