@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -180,6 +181,61 @@ def test_means_by_dense_products(spark):
     assert cu.small_clusters(df.where("false")) is None
 
 
+def test_linkage_without_a_matrix_equals_the_one_with_it(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(25, 64))[rng.integers(0, 25, 500)] + 1.2 * rng.normal(size=(500, 64)) * rng.random((500, 1))
+    weight, levels = rng.integers(1, 75, 500), [0.5, 0.7, 0.8, 0.9, 1.0]
+    want = [cu.constrained_linkage(v, 60, t, weight) for t in levels]
+    for cells in (1 << 23, 2000):
+        assert [np.unique(x, return_inverse=True)[1].tolist() for x in cu.linkage_at(v, 60, levels, weight, cells)] == [x.tolist() for x in want]
+    # by blocks and components; centres of 60 and more join none
+    centres = spark.createDataFrame([(3 * i, int(w), x) for i, (w, x) in enumerate(zip(weight, v.tolist()))], "micro int, n bigint, centroid array<float>")
+    for block_rows in (70, 5000):
+        got = sorted(cu.linked_centres(centres, 60, levels, block_rows).collect(), key=lambda r: r.micro)
+        assert [r.micro for r in got] == list(range(0, 1500, 3))
+        for i, x in enumerate(want):
+            assert np.unique([r.labels[i] for r in got], return_inverse=True)[1].tolist() == x.tolist()
+    assert len({tuple(x.tolist()) for x in want}) > 2
+    # equal centres: none is left over
+    same = cu.linkage_at(np.ones((7, 64)), 3, [0.7], np.ones(7))[0]
+    assert sorted(np.unique(same, return_counts=True)[1].tolist()) == [1, 3, 3]
+
+
+def test_small_clusters_grow_in_number_with_the_rows(spark, tmp_path):
+    # 48,000 rows, 600 of them copies, the others around 300 points; 3,000 small clusters were all there could be
+    i = F.sequence(F.lit(0), F.lit(63))
+    spread = F.when(F.col("id") < 600, 0.0).otherwise(0.5)
+    of = lambda *x: F.pmod(F.xxhash64(*x), F.lit(2001)) / 1000 - 1
+    vector = F.transform(i, lambda k: (of(F.when(F.col("id") < 600, -1).otherwise(F.col("id") % 300), k) + spread * of("id", F.lit("own"), k)).cast("float"))
+    df = spark.range(48000).select(F.format_string("c%05d", "id").alias("chain_id"), F.lit("d").alias("domain"), F.lit(0).alias("cluster_id"), F.lit("p").alias("paper_id"), vector.alias("vector"))
+    df.write.parquet(f"{tmp_path}/chain_embedding.parquet")
+    rows = catalog.chains(spark, str(tmp_path)).select("chain_id", "vector")
+    labels, centres = cu.small_clusters(rows)
+    got = {r.micro: r for r in (centres if isinstance(centres, list) else centres.collect())}
+    assert 3000 < len(got) < 3500 and sum(r.n for r in got.values()) == 48000
+    held = labels.groupBy("micro").agg(F.count("*").alias("n"), F.count_distinct("chain_id").alias("k"), F.count_if(F.col("chain_id") < "c00600").alias("copies")).collect()
+    assert all(r.n == r.k == got[r.micro].n for r in held) and len(held) == len(got)
+    assert sorted(r.copies for r in held)[-2:] == [0, 600]
+    mean = labels.where("micro = 7").join(rows, "chain_id").toPandas().vector
+    assert np.allclose(np.stack(mean).mean(0), got[7].centroid, atol=1e-5)
+    # linkage joins small clusters up to the limit, and the query has these labels
+    out = catalog.QUERIES["evolved_clustering"](spark, str(tmp_path)).collect()
+    size = Counter(r.label for r in out)
+    assert len(out) == len({r.chain_id for r in out}) == 48000 and {r.threshold for r in out} == {0.7}
+    assert len(size) < 0.8 * len(got) and sum(n > 60 for n in size.values()) <= sum(r.n > 60 for r in got.values())
+
+
+def test_rows_divided_in_parts(spark):
+    v = np.repeat(np.random.default_rng(2).normal(size=(40, 64)), 5, axis=0).astype(np.float32)
+    for most in (8, 512):
+        label, mean, size = cu.divided(v, 40, np.random.default_rng(1), most=most)
+        assert sorted(set(label.tolist())) == list(range(len(mean))) and size.tolist() == np.bincount(label).tolist() and size.sum() == 200
+        assert all(len(set(label[i : i + 5].tolist())) == 1 for i in range(0, 200, 5))
+        assert all(np.allclose(v[label == i].mean(0), m, atol=1e-5) for i, m in enumerate(mean))
+    label, mean, size = cu.divided(np.ones((9, 64), np.float32), 4, np.random.default_rng(1))
+    assert label.tolist() == [0] * 9 and size.tolist() == [9]
+
+
 def noisy(n: int, seed: int) -> np.ndarray:
     """Unit vectors, two thirds of them in twelve clusters."""
     rng = np.random.default_rng(seed)
